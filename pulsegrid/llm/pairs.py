@@ -104,21 +104,20 @@ def is_empty(response: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _shingles(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " ")))
 
 
-def is_copy(prompt_words: Column, response_words: Column, width: int = 8, share: float = 0.5, least: int = 4, large: int = 20) -> Column:
+def is_copy(prompt_words: Column, prompt_joined: Column, response_words: Column, width: int = 8, share: float = 0.5, least: int = 4, large: int = 20) -> Column:
     """The response gives back the prompt or a large piece: its word shingles lie in the prompt, whatever leads in.
 
     The shingles are only built where a word sequence of the response's middle or end can lie in the prompt at all, which
     a plain substring test on the joined words decides."""
     n = F.size(response_words)
-    joined = F.array_join(prompt_words, " ")
-    piece = lambda at: joined.contains(F.array_join(F.slice(response_words, at, width), " "))
+    piece = lambda at: prompt_joined.contains(F.array_join(F.slice(response_words, at, width), " "))
     probe = F.exists(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)), F.lit(width // 2)), piece)
     own, theirs = _shingles(response_words, width), _shingles(prompt_words, width)
     shared = F.size(F.array_intersect(own, theirs))
@@ -154,8 +153,16 @@ def language_hits(words: Column) -> Column:
 
 def cyrillic_share(text: Column, least: int) -> Column:
     """Share of Cyrillic among the letters; NULL below `least` letters."""
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    return F.when(letters >= least, F.length(F.regexp_replace(text, r"\P{IsCyrillic}", "")) / letters)
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    share = F.when(letters >= least, F.length(F.regexp_replace(text, r"\P{IsCyrillic}+", "")) / letters)
+    return F.when(text.rlike(r"\p{IsCyrillic}"), share).when(text.rlike(r"(?:\p{L}.*?){" + str(least) + "}"), F.lit(0.0))
+
+
+def main_defects(flagged: DataFrame, *keep: str) -> DataFrame:
+    """(kept columns, defect) of each defective pair with its first defect.
+
+    The generator keeps the optimizer from copying the rules into a pushed-down filter, which would run them twice."""
+    return flagged.select(*keep, F.explode_outer(F.slice("defects", 1, 1)).alias("defect")).where("defect is not null")
 
 
 def flag_pairs(df: DataFrame, prompt: str = "prompt", response: str = "response", least: int = 2) -> DataFrame:
@@ -167,13 +174,13 @@ def flag_pairs(df: DataFrame, prompt: str = "prompt", response: str = "response"
     keep = [F.col(c) for c in df.columns if c.lower() not in ("defects", "defect")]
     staged = df.select(*keep, is_empty(r).alias("__empty"), has_label(r).alias("__label"), _words(p).alias("__pw"), _words(r).alias("__rw"), wording(r).alias("__said"))
     staged = staged.select("*", language_hits(F.array_distinct("__pw")).alias("__ph"), language_hits(F.array_distinct(_words(F.col("__said")))).alias("__rh"))
-    staged = staged.select("*", F.array_max("__ph").alias("__asked"), F.array_max("__rh").alias("__answered"))
+    staged = staged.select("*", F.array_join("__pw", " ").alias("__pj"), F.array_max("__ph").alias("__asked"), F.array_max("__rh").alias("__answered"))
     asked, answered = F.col("__asked"), F.col("__answered")
     native = F.get(F.filter("__rh", lambda h: h["lang"] == asked["lang"]), F.lit(0))["n"]
     foreign = (asked["n"] >= least) & (answered["n"] >= least) & (answered["lang"] != asked["lang"]) & (answered["n"] >= native + 2)
     script = (cyrillic_share(p, 1) > 0.5) != (cyrillic_share(F.col("__said"), 12) > 0.5)
     alive = lambda rule: ~F.col("__empty") & F.coalesce(rule, F.lit(False))
-    staged = staged.withColumns({"__copy": alive(is_copy(F.col("__pw"), F.col("__rw"))), "__refusal": alive(~F.col("__label") & is_refusal(r))})
+    staged = staged.withColumns({"__copy": alive(is_copy(F.col("__pw"), F.col("__pj"), F.col("__rw"))), "__refusal": alive(~F.col("__label") & is_refusal(r))})
     rules = {
         "empty": F.col("__empty"),
         "copy": F.col("__copy"),

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.consensus import consensus, label_of, votes_of
-from pulsegrid.llm.pairs import flag_pairs
+from pulsegrid.llm.pairs import flag_pairs, main_defects
 from pulsegrid.llm.splits import components, deal, torn_groups
 from pulsegrid.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response")
-    return flag_pairs(rows).where("defect is not null").select("trace_id", "defect")
+    return main_defects(flag_pairs(rows), "trace_id")
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response")
-    return flag_pairs(rows).where("defect is not null").select("trace_id", F.explode("defects").alias("defect"))
+    return flag_pairs(rows).select("trace_id", F.explode_outer("defects").alias("defect")).where("defect is not null")
 
 
 def _consensus(spark: SparkSession, sf_dir: str):
