@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.consensus import consensus, label_of, votes_of
+from pulsegrid.llm.language import identify, mislabelled
 from pulsegrid.llm.pairs import flag_pairs, main_defects
 from pulsegrid.llm.splits import components, deal, torn_groups
 from pulsegrid.session import materialize, table
@@ -69,7 +70,24 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goals.join(got, "split", "left").crossJoin(F.broadcast(whole)).select("split", "share", "groups", "windows", (F.col("windows") / F.col("__all")).alias("actual_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares)}
+def _languages(spark: SparkSession, sf_dir: str, segments: bool) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", with_segments=segments)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(_languages(spark, sf_dir, False), "doc_id")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _languages(spark, sf_dir, True)
+    return found.select("doc_id", F.inline("segments")).select("doc_id", "start", "length", "lang", "confidence")
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir, False)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p10_found, p10_segments, p10_documents)}
 
 SQL = {
     "p4_found": """
