@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.consensus import consensus, label_of, votes_of
 from pulsegrid.llm.language import identify, mislabelled
+from pulsegrid.llm.leakage import find_leaks, leaked_items
+from pulsegrid.llm.mixing import mix_sources
 from pulsegrid.llm.pairs import flag_pairs, main_defects
 from pulsegrid.llm.splits import components, deal, torn_groups
 from pulsegrid.session import materialize, table
@@ -87,7 +89,31 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir, False)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p10_found, p10_segments, p10_documents)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_leaks(spark, sf_dir), "item_id", "doc_id")
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_segments, p10_documents)}
 
 SQL = {
     "p4_found": """
