@@ -85,6 +85,7 @@ def read_file(content: str | None) -> tuple[list[str], list[list[str]]]:
     if not head.strip():
         return [], []
     delimiter = max(",;\t|", key=lambda d: (_outside_quotes(head, d), d == ","))
+    csv.field_size_limit(2**31 - 1)  # cells may be long
     rows = list(csv.reader(io.StringIO(text), delimiter=delimiter, strict=False))
     names, seen = [], Counter()
     for cell in rows[0]:

@@ -183,7 +183,7 @@ def flag_measurements(
     kinds = dict(channels)
     id_type = dict(df.dtypes)[row_id]
 
-    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__pos", kind="stable")
         t, v = pdf["__t"].to_numpy(), pdf["__v"].to_numpy()
         first = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]

@@ -49,7 +49,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     Headers are small text; each signal file is one row of the binary source and is decoded where it is read."""
     base = spark.read.option("recursiveFileLookup", True).format("binaryFile")
     stem = F.regexp_extract("path", r"([^/]+)\.\w+$", 1)
-    heads = base.option("pathGlobFilter", "*.hea").load(path).select(stem.alias("stem"), F.decode("content", F.lit("utf-8")).alias("header"))
+    heads = base.option("pathGlobFilter", "*.hea").load(path).select(stem.alias("stem"), F.decode("content", "utf-8").alias("header"))
     data = base.option("pathGlobFilter", "*.dat").load(path).select(stem.alias("stem"), "content")
 
     def load(batches):
