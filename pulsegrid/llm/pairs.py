@@ -77,12 +77,12 @@ REFUSALS = (
 
 #: Frequent function words per language; words that several of these languages share are left out where they mislead.
 FUNCTION_WORDS = {
-    "en": "the of and to is are with but for so this that which would near most while although hence there at as not point enough like nothing else one it by from on",
-    "de": "der die das und ist nicht ein eine mit auf aber von den dem zu im sich bei etwa was gut zum deshalb obwohl während kaum diese viel weniger die ich würde für nichts weiter sonst hält liegt bleibt",
-    "fr": "le la les et est une des du que qui pour dans avec sur pas mais pendant cette donc ce je tiendrais autour presque rien bien moins plus reste voisine second alors tandis deux fois",
-    "es": "el la los las y es una del que con para por pero más esta así se de está cerca mientras aunque nada otra mucho menos muy me quedaría toda hora casi hay no destaca lo",
-    "it": "il lo gli e è una del che con per non ma più questa quindi si di sta mentre anche nulla molto meno sembra altri canali appena della lascia pochi seguito vicino circa",
-    "pt": "o os as e é uma do da que com para não mas mais esta assim se em enquanto embora nada muito menos perto está quase toda fica isso pouco parece outros canais",
+    "en": "the of and to is are with but for so this that which would near most while although hence there at as not point enough like nothing else one it by from on around looks quite very not",
+    "de": "der die das und ist nicht ein eine mit auf aber von den dem zu im sich bei etwa was gut zum deshalb obwohl während kaum diese viel weniger die ich würde für nichts weiter sonst hält liegt bleibt um wirkt recht sehr",
+    "fr": "le la les et est une des du que qui pour dans avec sur pas mais pendant cette donc ce je tiendrais autour presque rien bien moins plus reste voisine second alors tandis deux fois semble assez proche",
+    "es": "el la los las y es una del que con para por pero más esta así se de está cerca mientras aunque nada otra mucho menos muy me quedaría toda hora casi hay no destaca lo parece bastante torno",
+    "it": "il lo gli e è una del che con per non ma più questa quindi si di sta mentre anche nulla molto meno sembra altri canali appena della lascia pochi seguito vicino circa intorno abbastanza",
+    "pt": "o os as e é uma do da que com para não mas mais esta assim se em enquanto embora nada muito menos perto está quase toda fica isso pouco parece outros canais bastante cerca",
     "nl": "de het een en is niet met op maar van voor dat deze dus zich bij ongeveer terwijl hoewel verder niets veel minder ik zou blijft ligt meeste uur de andere kanalen",
     "pl": "i jest nie to z na się że do ale przez ta więc w około podczas chociaż nic dużo mniej bardzo utrzymuje prawie całą pozostałe kanały jedna",
     "ru": "и не на что с по но это как для около почти все остальные каналы хотя ничего больше менее вероятным держится дыхание давление пульс так",
