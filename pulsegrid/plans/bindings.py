@@ -22,9 +22,9 @@ def day_of(ts: str):
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
 
 
-def windows(spark: SparkSession, sf: str) -> DataFrame:
+def windows(spark: SparkSession, sf: str, size: int = SIZE) -> DataFrame:
     """Events as full windows of 16 per user: (user_id, window_no, pos, ts, value, event_type)."""
-    return windowing.count_windows(events(spark, sf), "user_id", "ts", SIZE, day_of("ts"))
+    return windowing.count_windows(events(spark, sf), "user_id", "ts", size, day_of("ts"))
 
 
 KEYS = ["user_id", "window_no"]
@@ -38,15 +38,15 @@ WINDOWS = """ranked AS (
 )"""
 
 
-def arrays(spark: SparkSession, sf: str) -> DataFrame:
+def arrays(spark: SparkSession, sf: str, size: int = SIZE) -> DataFrame:
     """(user_id, window_no, values) of the event windows."""
-    packed = windows(spark, sf).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p"))
+    packed = windows(spark, sf, size).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p"))
     return packed.select(*KEYS, F.transform("p", lambda s: s["value"]).alias("values"))
 
 
-def window_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The event windows as a windows table with the value, its running total and its rank as three channels."""
-    a = arrays(spark, sf)
+def window_table(spark: SparkSession, sf: str, size: int = SIZE) -> DataFrame:
+    """The event windows as a windows table with the value and its running total as two channels."""
+    a = arrays(spark, sf, size)
     total = F.transform("values", lambda x, i: F.aggregate(F.slice("values", 1, i + 1), F.lit(0.0), lambda s, v: s + v))
     channels = F.array(F.struct(F.lit(0).alias("channel_idx"), F.lit("ABP").alias("channel"), F.col("values")), F.struct(F.lit(1).alias("channel_idx"), F.lit("level").alias("channel"), total.alias("values")))
     return a.select(F.lit("events").alias("dataset"), (F.col("user_id") * 100_000 + F.col("window_no")).alias("window_id"), F.inline(channels))

@@ -148,7 +148,7 @@ def q_p11_presence(s, d):
 
 @query()
 def q_d1_change_points(s, d):
-    return B.arrays(s, d).select(*B.KEYS, dsp.change_points_udf(3, "cusum")("values").alias("cusum"), dsp.change_points_udf(3, "pelt")("values").alias("pelt"))
+    return B.arrays(s, d, 32).select(*B.KEYS, dsp.change_points_udf(3, "cusum")("values").alias("cusum"), dsp.change_points_udf(3, "pelt")("values").alias("pelt"))
 
 
 @query()
@@ -158,7 +158,7 @@ def q_d2_pulse_peaks(s, d):
 
 @query()
 def q_d3_summaries(s, d):
-    return dsp.summaries(B.window_table(s, d), fs=4.0)
+    return dsp.summaries(B.window_table(s, d, 32), fs=4.0)
 
 
 @query()
@@ -804,3 +804,154 @@ def q_stream_bins(s, d):
     out = s.read.parquet(f"{root}/out").groupBy("user_id", "start").agg(F.max_by(F.struct("n", "mean", "min", "max"), "__batch").alias("r"))
     kind = dict(rows.dtypes)["ts"]
     return B.rounded(out.select("user_id", F.col("start").cast(kind).alias("start"), "r.*"), "mean")
+
+
+# ---- further operators of the inventory ---------------------------------------------------------------------------------
+
+
+@query("SELECT w.window_id, first_minute, n_rows FROM window_index w WHERE w.window_id IN (SELECT window_id FROM splits WHERE lower(trim(split)) = 'gold')")
+def q_p15_gather(s, d):
+    listed = table(s, d, "splits").where(F.lower(F.trim("split")) == "gold").select("window_id")
+    return table(s, d, "window_index").join(listed, "window_id", "left_semi").select("window_id", "first_minute", "n_rows")
+
+
+@query("SELECT vec_id AS item, CASE WHEN r <= greatest(1, n // 2) THEN 'fit' ELSE 'calibrate' END AS half FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings WHERE vec_id % 3 = 0)")
+def q_p20_half_split(s, d):
+    from pulsegrid.operators.positions import with_position
+
+    gold = B.gold(s, d).withColumn("one", F.lit(1))
+    n = gold.count()
+    placed = with_position(gold, ["one"], F.floor(F.col("item") / 1024), [F.col("item")], "r")
+    return placed.select("item", F.when(F.col("r") < max(1, n // 2), "fit").otherwise("calibrate").alias("half"))
+
+
+@query(W("SELECT user_id, window_no, CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS n, CASE WHEN stddev_pop(value) > 1e-6 THEN '' ELSE 'ABSENT' END AS mark FROM w GROUP BY 1, 2"))
+def q_p21_absent_mark(s, d):
+    return B.windows(s, d).groupBy(*B.KEYS).agg(F.count_if(F.col("value") > 100).alias("n"), F.when(windowing.is_present(F.col("value")), "").otherwise("ABSENT").alias("mark"))
+
+
+@query(W("SELECT user_id, window_no, round(60.0 * CAST(sum(CASE WHEN value > prev AND value > next THEN 1 ELSE 0 END) AS BIGINT) / count(*), 6) + 0.0 AS rate FROM nb GROUP BY 1, 2", _NEIGHBOURS))
+def q_a11_rate(s, d):
+    return B.rounded(stats.peak_intervals(B.windows(s, d), B.KEYS, "pos", "value", 1.0).select(*B.KEYS, "rate"), "rate")
+
+
+@query(f"WITH {B.COUNTS} SELECT item, round(max(share), 6) + 0.0 AS confidence FROM counts GROUP BY 1")
+def q_a18_share(s, d):
+    return B.rounded(votes.majority(B.votes(s, d)).select("item", F.col("share").alias("confidence")), "confidence")
+
+
+def _accuracy_sql(rounds: int) -> str:
+    return _em_sql(rounds).rsplit(" SELECT item", 1)[0] + f" SELECT CAST(m AS INTEGER) AS lf_idx, round(acc, 6) + 0.0 AS accuracy FROM a{rounds}"
+
+
+@query(_accuracy_sql(3))
+def q_a30_source_accuracy(s, d):
+    rows = B.votes(s, d).where(F.col("view_idx").isin(*methods.LF_VIEWS)).select("item", F.col("view_idx").alias("lf_idx"), F.col("label").alias("vote"))
+    return B.rounded(models.label_model(rows, methods.LF_VIEWS, B.CLASSES, rounds=3)[1], "accuracy")
+
+
+@query(W("SELECT CAST(sum(label) AS BIGINT) AS positive, count(*) AS windows, count(DISTINCT label) AS labels FROM (SELECT user_id, window_no, CAST(max(CASE WHEN value > 150 THEN 1 ELSE 0 END) AS INTEGER) AS label FROM w GROUP BY 1, 2)"))
+def q_a31_label_counts(s, d):
+    flagged = windowing.window_flag(B.windows(s, d), B.KEYS, F.col("value") > 150)
+    return flagged.agg(F.sum("label").alias("positive"), F.count(F.lit(1)).alias("windows"), F.countDistinct("label").alias("labels"))
+
+
+@query(SQL["q_j7_neighbours"].replace("SELECT item, gold_item, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM", "SELECT n.item, CAST(n.rank AS INTEGER) AS rank, CAST(m.label AS INTEGER) AS y, 'class_' || m.label AS class_name FROM (SELECT * FROM").replace("WHERE rank <= 3", "WHERE rank <= 3) n JOIN embeddings m ON m.vec_id = n.gold_item"))
+def q_j8_demo_labels(s, d):
+    near = q_j7_neighbours(s, d).select("item", "gold_item", "rank")
+    named = near.join(B.gold(s, d).withColumnRenamed("item", "gold_item"), "gold_item")
+    return named.select("item", "rank", "y", F.concat(F.lit("class_"), F.col("y").cast("string")).alias("class_name"))
+
+
+@query(f"WITH {_SEEDED} SELECT a.method AS target, b.method, a.seed, round(a.value - b.value, 6) + 0.0 AS diff FROM seeded a JOIN seeded b ON a.seed = b.seed AND a.method <> b.method WHERE a.method IN ('view0', 'view4')")
+def q_j10_against_others(s, d):
+    per = _per_seed(s, d)
+    one = lambda t: metrics.paired(per, t).select(F.lit(t).alias("target"), "method", "seed", "diff")
+    return B.rounded(one("view0").unionByName(one("view4")), "diff")
+
+
+@query(f"WITH {B.COUNTS} SELECT v.item, v.view_idx, v.label, round(c.share, 6) + 0.0 AS share FROM votes v JOIN counts c ON c.item = v.item AND c.label = v.label")
+def q_j11_vote_share(s, d):
+    v = B.votes(s, d)
+    return B.rounded(v.join(votes.vote_counts(v), ["item", "label"]).select("item", "view_idx", "label", "share"), "share")
+
+
+@query()
+def q_j13_separated_points(s, d):
+    found = B.arrays(s, d, 32).select(*B.KEYS, dsp.change_points_udf(3, "cusum")("values").alias("p"))
+    return found.select(*B.KEYS, F.posexplode("p").alias("i", "t"))
+
+
+@query()
+def q_w5_refractory_peaks(s, d):
+    return B.arrays(s, d).select(*B.KEYS, F.posexplode(dsp.peaks_udf(8.0)("values")).alias("i", "t"))
+
+
+@query()
+def q_t3_merged_points(s, d):
+    """The first three change points of all channels of a window, by time and then channel."""
+    marks = B.window_table(s, d, 32).select("window_id", "channel_idx", dsp.change_points_udf(3, "cusum")("values").alias("p"))
+    each = F.transform("p", lambda t: F.struct(t.alias("t"), F.col("channel_idx")))
+    merged = marks.groupBy("window_id").agg(F.flatten(F.collect_list(each)).alias("all"))
+    return merged.select("window_id", F.posexplode(F.slice(F.array_sort("all"), 1, 3)).alias("i", "c")).select("window_id", "i", "c.t", "c.channel_idx")
+
+
+@query(f"WITH {B.COUNTS}, e AS (SELECT item, round(-sum(share * ln(share + 1e-9)), 9) AS entropy FROM counts GROUP BY 1) SELECT item, CAST(row_number() OVER (ORDER BY entropy DESC, item) AS BIGINT) AS rank FROM e")
+def q_w8_rank(s, d):
+    from pulsegrid.operators.positions import with_position
+
+    e = votes.vote_entropy(B.votes(s, d)).select("item", F.round("entropy", 9).alias("entropy"), F.lit(1).alias("one"))
+    placed = with_position(e, ["one"], -F.floor(F.col("entropy") * 64), [F.desc("entropy"), F.col("item")], "r")
+    return placed.select("item", (F.col("r") + 1).alias("rank"))
+
+
+@query(f"WITH {_TRACE_ENTRIES}, fresh AS (SELECT k, arg_min(r, o) AS r FROM entries WHERE k IS NOT NULL AND r IS NOT NULL GROUP BY 1) SELECT k, r FROM cache UNION SELECT k, r FROM fresh WHERE k NOT IN (SELECT k FROM cache)")
+def q_u2_cache_union(s, d):
+    return llm_cache.prefill(table(s, d, "raw_trace"), _cache(s, d), F.struct("trace_id", "view_id"))[0]
+
+
+@query("WITH r AS (SELECT window_id, row_number() OVER (ORDER BY (window_id * 7919) % 10007, window_id) - 1 AS r, count(*) OVER () AS n FROM window_index), b AS (SELECT CASE WHEN r < least(50, n) THEN 'gold' WHEN r < least(50, n) + CASE WHEN n > 50 THEN greatest(1, (n - 50) // 5) ELSE 0 END THEN 'test' ELSE 'unlabeled' END AS split FROM r) SELECT split, count(*) AS windows FROM b GROUP BY 1")
+def q_u3_partition(s, d):
+    return q_t8_split(s, d).groupBy("split").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query()
+def q_u5_diverse(s, d):
+    ctx = B.context(s, d)
+    return models.diverse_subset(ctx.features, "item", "features", 0.1).distinct()
+
+
+@query(f"WITH {B.COUNTS}, p AS (SELECT item, label, share, row_number() OVER (PARTITION BY item ORDER BY share DESC, label) AS r FROM counts) SELECT a.item, '  ml_hint: top=class_' || a.label || ' (p=' || printf('%.2f', a.share) || ')' AS hint FROM p a WHERE r = 1")
+def q_d5_hint(s, d):
+    top = votes.majority(B.votes(s, d))
+    return top.select("item", F.concat(F.lit("  ml_hint: top=class_"), F.col("pred").cast("string"), F.lit(" (p="), F.format_string("%.2f", "share"), F.lit(")")).alias("hint"))
+
+
+@query("SELECT trace_id, CAST(0 AS INTEGER) AS label, CAST(0.5 AS DOUBLE) AS confidence FROM raw_trace WHERE response IS NULL")
+def q_d7_failed_calls(s, d):
+    rows = table(s, d, "raw_trace").where("response is null").select("trace_id", "response")
+    return parse.parse_answers(rows, "response", 8).select("trace_id", "label", "confidence")
+
+
+@query()
+def q_m4_downstream(s, d):
+    ctx = B.context(s, d, 0.2)
+    taken = methods.pipeline(ctx, calibrated=False).where("accept").join(ctx.features, "item")
+    return models.downstream_f1(taken, ctx.features.join(B.truth(s, d), "item"), B.CLASSES, trees=20)
+
+
+@query()
+def q_m6_seeding(s, d):
+    ctx = B.context(s, d)
+    signals = votes.disagreement(ctx.votes)
+    embedded = models.badge_embedding(votes.vote_counts(ctx.votes), signals, B.CLASSES)
+    return models.diverse_subset(embedded, "item", "embedding", 0.7)
+
+
+@query()
+def q_compare_methods(s, d):
+    from pulsegrid.plans.runner import compare
+
+    truth = B.truth(s, d).withColumn("split", F.when(F.col("item") % 3 == 0, "gold").otherwise("test"))
+    names = ["pipeline", "full_llm", "self_consistency", "confidence_threshold", "conformal_llm", "snorkel_style", "prompted_ws"]
+    return B.rounded(compare(B.context(s, d), truth, names), "risk", "coverage", "cost", "f1")
