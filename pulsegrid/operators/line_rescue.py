@@ -36,7 +36,7 @@ NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _NUMBER = re.compile(NUMBER)
 
 #: Rows of a failing block at or below which each row is diagnosed by itself.
-LEAF_ROWS = 4
+LEAF_ROWS = 32
 
 
 def split_strict(line: str, delimiter: str) -> tuple[list[str], bool]:
