@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def vote_counts(votes: DataFrame, item: str = "item") -> DataFrame:
-    """(item, label, n, share) per label that got a vote."""
-    counts = votes.groupBy(item, "label").agg(F.count(F.lit(1)).alias("n"))
+    """(item, label, n, share) per label that got a vote.
+
+    Rows meet by item once; counting by (item, label) and adding up by item both keep that partitioning."""
+    counts = votes.select(item, "label").repartition(item).groupBy(item, "label").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(item)))
 
 
@@ -27,19 +29,20 @@ def _entropy(share: Column) -> Column:
 def disagreement(votes: DataFrame, item: str = "item") -> DataFrame:
     """(item, pred, plurality, entropy, conf_mean, conf_std, unanimous, aligned).
 
-    unanimous: all labels equal; aligned: the median label is that of the first view."""
-    counted = votes.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(item, "label")))
-    per_item = counted.groupBy(item).agg(
-        F.count(F.lit(1)).alias("__m"),
-        F.collect_set(F.struct(F.col("__n").alias("n"), (-F.col("label")).alias("l"))).alias("__c"),
+    unanimous: all labels equal; aligned: the median label is that of the first view. One aggregation by item: the labels of
+    an item (as many as views) are counted inside their array."""
+    per_item = votes.groupBy(item).agg(
+        F.collect_list("label").alias("__l"),
         F.avg("confidence").alias("conf_mean"),
         F.stddev_pop("confidence").alias("conf_std"),
         (F.min("label") == F.max("label")).cast("int").alias("unanimous"),
         (F.percentile("label", F.lit(0.5)) == F.min_by("label", "view_idx")).cast("int").alias("aligned"),
     )
+    counts = F.transform(F.array_distinct("__l"), lambda k: F.struct(F.size(F.filter("__l", lambda x: x == k)).alias("n"), (-k).alias("l")))
+    counted = per_item.withColumn("__c", counts).withColumn("__m", F.size("__l"))
     top = F.array_max("__c")
     entropy = F.aggregate("__c", F.lit(0.0), lambda a, c: a - c["n"] / F.col("__m") * F.log(c["n"] / F.col("__m") + F.lit(1e-9)))
-    return per_item.select(item, (-top["l"]).alias("pred"), (top["n"] / F.col("__m")).alias("plurality"), entropy.alias("entropy"), "conf_mean", "conf_std", "unanimous", "aligned")
+    return counted.select(item, (-top["l"]).alias("pred"), (top["n"] / F.col("__m")).alias("plurality"), entropy.alias("entropy"), "conf_mean", "conf_std", "unanimous", "aligned")
 
 
 def vote_entropy(votes: DataFrame, item: str = "item") -> DataFrame:

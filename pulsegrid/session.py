@@ -67,22 +67,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    Unlike an in-memory copy it survives the loss of executors, and later scans prune columns."""
+    Unlike an in-memory copy it survives the loss of executors, and later scans prune columns. Give it to discard() once
+    nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a frame from materialize(), once nothing reads them any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if root.replace("file://", "file:").rstrip("/").split(":", 1)[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pulsegrid_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames from materialize(); other frames are left alone."""
+    for df in frames:
+        found = getattr(df, "_pulsegrid_path", None)
+        if found:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(found)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def real(col):
