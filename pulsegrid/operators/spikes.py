@@ -47,18 +47,23 @@ VITALS = {
 }
 
 
-def _running_median(y: np.ndarray, half: int) -> np.ndarray:
+def _running_median(y: np.ndarray, half: int, step: int = 1) -> np.ndarray:
+    """Median of the up to 2 half + 1 values around every step-th value, interpolated in between."""
     n = len(y)
-    padded = np.concatenate([np.full(half, np.nan), y, np.full(half, np.nan)])
-    with np.errstate(all="ignore"):
-        return np.nanmedian(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)[:n]
+    padded = np.full(n + 2 * half, np.nan)
+    padded[half : half + n] = y
+    at = np.arange(0, n, step)
+    rows = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)[at], axis=1)  # NaN last
+    count = np.minimum(at + half, n - 1) - np.maximum(at - half, 0) + 1
+    r = np.arange(len(at))
+    mid = (rows[r, (count - 1) // 2] + rows[r, count // 2]) / 2
+    return mid if step == 1 else np.interp(np.arange(n), at, mid)
 
 
 def _scale(e: np.ndarray, half: int, floor: float) -> np.ndarray:
     """Local robust deviation: a running median of |e|, at least half the series' own and at least the floor."""
     a = np.abs(e)
-    whole = 1.4826 * np.nanmedian(a)
-    return np.maximum(np.maximum(1.4826 * _running_median(a, half), 0.5 * whole), floor)
+    return np.maximum(1.4826 * np.maximum(_running_median(a, half, 4), 0.5 * np.median(a)), floor)
 
 
 def fit_ar(r: np.ndarray, order: int, rounds: int = 4) -> np.ndarray:
@@ -169,7 +174,8 @@ def flag_measurements(
     Each (source, channel) is cut into chunks of `chunk` readings with `halo` readings of context on both sides, by exact
     positions (see positions.py): a source with a third of all rows becomes many tasks of bounded size, and runs across
     borders are seen whole because the halo is longer than stuck_len."""
-    pairs = F.array(*[F.struct(F.lit(x).alias("__ch"), real(F.col(x).cast("double")).alias("__v")) for x in channels])
+    names = list(channels)
+    pairs = F.array(*[F.struct(F.lit(i).alias("__ch"), real(F.col(x).cast("double")).alias("__v")) for i, x in enumerate(names)])
     long = (
         df.where(F.col(source).isNotNull())
         .select(F.col(row_id).alias("__id"), F.col(source).alias("__s"), real(F.col(time).cast("double")).alias("__t"), F.inline(pairs))
@@ -179,16 +185,52 @@ def flag_measurements(
     own = F.floor(F.col("__pos") / chunk)
     within = F.col("__pos") - own * chunk
     homes = F.array_compact(F.array(own, F.when((within < halo) & (own > 0), own - 1), F.when(within >= chunk - halo, own + 1)))
-    spread = placed.withColumn("__own", own).withColumn("__chunk", F.explode(homes))
-    kinds = dict(channels)
+    keys = ["__s", "__ch", "__chunk"]
+    spread = placed.withColumn("__own", own).withColumn("__chunk", F.explode(homes)).select(*keys, "__pos", "__own", "__id", "__t", "__v")
+    # chunks lie one after the other in sorted partitions: many small series share a batch, and a chunk that a batch cuts is
+    # carried into the next one
+    sorted_runs = spread.repartition(*keys).sortWithinPartitions(*keys, "__pos")
     id_type = dict(df.dtypes)[row_id]
 
-    def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos", kind="stable")
-        t, v = pdf["__t"].to_numpy(), pdf["__v"].to_numpy()
-        first = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])]
-        flags = judge_series(v[first], kinds[key[1]], stuck_len)[np.cumsum(first) - 1]
-        keep = (flags != "") & (pdf["__own"] == key[2]).to_numpy()
-        return pd.DataFrame({row_id: pdf["__id"].to_numpy()[keep], "channel": key[1], "flag": flags[keep]})
-
-    return spread.groupBy("__s", "__ch", "__chunk").applyInPandas(judge, f"`{row_id}` {id_type}, channel string, flag string")
+    def judge(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the flagged cells that a chunk owns, their flags) of complete chunks."""
+        t, v, ch = pdf["__t"].to_numpy(), pdf["__v"].to_numpy(), pdf["__ch"].to_numpy()
+        mine = (pdf["__own"] == pdf["__chunk"]).to_numpy()
+        edge = np.append(_starts(pdf, keys), len(pdf))
+        places, kinds = [], []
+        for a, b in zip(edge[:-1], edge[1:]):
+            first = np.r_[True, (t[a + 1 : b] != t[a : b - 1]) | (v[a + 1 : b] != v[a : b - 1])]
+            flags = judge_series(v[a:b][first], channels[names[ch[a]]], stuck_len)[np.cumsum(first) - 1]
+            hit = np.flatnonzero((flags != "") & mine[a:b])
+            places.append(hit + a)
+            kinds.append(flags[hit])
+        return np.concatenate(places), np.concatenate(kinds)
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = _starts(pdf, keys)[-1]
+            done, rest = pdf.iloc[:last], pdf.iloc[last:]
+            if len(done):
+                yield report(done)
+        if rest is not None and len(rest):
+            yield report(rest)
+
+    def report(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, flags = judge(pdf)
+        return pd.DataFrame({row_id: pdf["__id"].to_numpy()[at], "channel": np.array(names, object)[pdf["__ch"].to_numpy()[at]], "flag": flags})
+
+    return sorted_runs.mapInPandas(run, f"`{row_id}` {id_type}, channel string, flag string")
+
+
+def _starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where a new combination of the keys starts."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        x = pdf[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)

@@ -17,10 +17,14 @@ def test_spikes_are_found_and_levels_kept():
     assert np.flatnonzero(find_spikes(v, VITALS["HR"].floor)).tolist() == [50, 100, 101, 102]
 
 
-def test_restless_stretch_is_genuine():
-    v = series(seed=1)
-    v[150:220] = 80 + np.random.default_rng(2).normal(0, 9, 70)
-    assert find_spikes(v, VITALS["HR"].floor).sum() <= 1
+def test_restless_stretches_are_genuine():
+    """Of 700 readings in ten restless stretches hardly any looks like an excursion (one at a stretch's end may)."""
+    found = 0
+    for seed in range(1, 11):
+        v = series(seed=seed)
+        v[150:220] = 80 + np.random.default_rng(seed + 1).normal(0, 9, 70)
+        found += find_spikes(v, VITALS["HR"].floor).sum()
+    assert found <= 7
 
 
 def test_limits_and_stuck_runs():
