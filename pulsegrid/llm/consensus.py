@@ -108,7 +108,7 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
     (triplet estimate), reliability (share of its votes equal to the consensus), skill (b_i), n_votes."""
     spark, k = votes.sparkSession, classes
     items = materialize(votes.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("annotator", "label"))).alias("votes")), "votes")
-    names = sorted(r[0] for r in votes.select("annotator").distinct().limit(max_annotators + 1).collect())
+    names = sorted(r[0] for r in items.select(F.explode("votes.annotator")).distinct().limit(max_annotators + 1).collect())
     if len(names) > max_annotators:
         raise ValueError(f"more than {max_annotators} annotators")
     place = {a: i for i, a in enumerate(names)}

@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import positions
-from pulsegrid.session import materialize
+from pulsegrid.session import discard, materialize
 
 MAX_ROUNDS = 64
 _GOLDEN = (math.sqrt(5) - 1) / 2
 
 
-def spanning_forest(links: DataFrame, a: str, b: str, finish: int = 1) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(links: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """(node, root) of every linked node, root being the smallest id of its component, and the forest's edges (u, v)."""
     u, v = F.least(a, b), F.greatest(a, b)
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct()
@@ -55,10 +55,13 @@ def spanning_forest(links: DataFrame, a: str, b: str, finish: int = 1) -> tuple[
         back = least.select(F.col("c").alias("p"), F.col("parent").alias("pp"))
         up = least.join(back, least["parent"] == back["p"], "left").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("parent")), F.col("c")).otherwise(F.col("parent")).alias("parent"))
         up = materialize(up, "hooks")
+        spent = [edges, nodes]
         for _ in range(MAX_ROUNDS):
             over = up.select(F.col("c").alias("p"), F.col("parent").alias("pp"))
             jumped = materialize(up.join(over, up["parent"] == over["p"]).select("c", F.col("pp").alias("parent"), (F.col("pp") != F.col("parent")).alias("moved")), "jumps")
+            spent.append(up)
             up = jumped.select("c", "parent")
+            spent.append(jumped)
             if jumped.where("moved").isEmpty():
                 break
         nodes = materialize(nodes.join(up, nodes["root"] == up["c"], "left").select("node", F.coalesce("parent", "root").alias("root")), "nodes")
@@ -72,6 +75,7 @@ def spanning_forest(links: DataFrame, a: str, b: str, finish: int = 1) -> tuple[
             .select(F.col("w.u").alias("u"), F.col("w.v").alias("v"), "cu", "cv")
         )
         edges = materialize(edges, "edges")
+        discard(*spent)
     else:
         raise RuntimeError("the contraction did not end")
     smallest = nodes.groupBy("root").agg(F.min("node").alias("least"))
