@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "pos") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "pos", null_safe: bool = False) -> DataFrame:
     """Add the 0-based position of each row within its key, ordered by (bucket, order).
 
-    bucket must be monotone in the order. Null keys form a key of their own."""
+    bucket must be monotone in the order. With null_safe, NULL keys form a key of their own."""
     b, n, off = f"__{name}_b", f"__{name}_n", f"__{name}_off"
     parts = [*keys, b]
     rows = df.withColumn(b, bucket)
@@ -25,7 +25,7 @@ def with_position(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
         .withColumn(off, F.coalesce(F.sum(n).over(before), F.lit(0)))
         .select(*[F.col(k).alias(f"__o_{k}") for k in parts], off)
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in parts]
+    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) if null_safe else F.col(k) == F.col(f"__o_{k}") for k in parts]
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
     return (
         ranked.join(offsets, same)
@@ -34,7 +34,7 @@ def with_position(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     )
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: str, payload: str, name: str = "prev") -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: str, payload: str, name: str = "prev", null_safe: bool = False) -> DataFrame:
     """Add payload of the preceding row of the same key in the order of column `order` (unique within a key).
 
     bucket must be monotone in order. The first row of a key gets NULL."""
@@ -47,7 +47,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: str
         .withColumn(carry, F.lag(carry).over(Window.partitionBy(*keys).orderBy(b)))
         .select(*[F.col(k).alias(f"__o_{k}") for k in parts], carry)
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in parts]
+    same = [F.col(k).eqNullSafe(F.col(f"__o_{k}")) if null_safe else F.col(k) == F.col(f"__o_{k}") for k in parts]
     w = Window.partitionBy(*parts).orderBy(order)
     out = rows.withColumn(name, F.lag(payload).over(w)).withColumn("__first", F.row_number().over(w) == 1)
     return (
