@@ -18,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.registry import CLINICAL_CLASSES
+
 #: The defect types in the order of the rules.
 DEFECTS = ("empty", "copy", "refusal", "truncated", "other_language")
 
-#: Class names in the order of their index.
-CLASSES = ("normal", "cardiac_arrhythmia", "sepsis_onset", "hemodynamic_instability", "respiratory_failure", "neurological_event", "infection", "other")
+CLASSES = CLINICAL_CLASSES
 
 PLACEHOLDERS = ("null", "none", "nil", "na", "nan", "n/a", "undefined", "empty", "tbd", "todo", "no answer", "no response", "json")
 
