@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranking import first_rows
+
 
 def vote_counts(votes: DataFrame, item: str = "item") -> DataFrame:
     """(item, label, n, share) per label that got a vote.
@@ -55,11 +57,9 @@ def confidence_stats(votes: DataFrame, item: str = "item") -> DataFrame:
 
 
 def top_by_value(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """The share of rows (at least one, none of an empty table) with the greatest value, ties by key: (key, value).
-
-    A distributed top-k: each partition keeps its k best before they meet."""
+    """The share of rows (at least one, none of an empty table) with the greatest value, ties by key: (key, value)."""
     n = rows.count()
-    return rows.select(key, value).orderBy(F.desc(value), key).limit(max(1, int(share * n)) if n else 0)
+    return first_rows(rows.select(key, value), [F.desc(value), F.col(key)], max(1, int(share * n)) if n else 0)
 
 
 def refresh_set(votes_entropy: DataFrame, item: str = "item", share: float = 0.20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.positions import with_position
+from pulsegrid.operators.ranking import with_global_rank
 
 
 def scrub(col) -> Column:
@@ -161,12 +162,11 @@ def is_present(value: Column, least: float = 1e-6) -> Column:
 def ranked_split(ids: DataFrame, key: str, rank_key: Column, gold: int, seed_col: str = "split", test_divisor: int = 5, caps: Mapping[str, int] | None = None) -> DataFrame:
     """(key, split): gold first, then a fifth of the rest (at least 1) as test, the remainder unlabeled, by rank_key.
 
-    caps bounds a split's size after the assignment. Positions are exact without one global sort task: the rank key's own
-    high digits are the buckets."""
+    caps bounds a split's size after the assignment."""
     total = ids.count()
     n_gold = min(gold, total)
     n_test = max(1, (total - n_gold) // test_divisor) if total > n_gold else 0
-    placed = with_position(ids.select(key, rank_key.alias("__k")).withColumn("__one", F.lit(1)), ["__one"], F.floor(F.col("__k") / 256), [F.col("__k"), F.col(key)], "__r")
+    placed = with_global_rank(ids.select(key, rank_key.alias("__k")), [F.col("__k"), F.col(key)], "__r")
     split = F.when(F.col("__r") < n_gold, "gold").when(F.col("__r") < n_gold + n_test, "test").otherwise("unlabeled")
     out = placed.select(key, split.alias(seed_col), "__r")
     start = {"gold": 0, "test": n_gold, "unlabeled": n_gold + n_test}

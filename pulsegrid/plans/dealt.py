@@ -8,6 +8,7 @@ from pulsegrid.operators.line_rescue import rescue_lines, split_lines
 from pulsegrid.operators.regular_grid import regular_grid, uncovered_cells
 from pulsegrid.operators.schema_drift import fused_schema, schema_changes, unify_rows
 from pulsegrid.operators.spikes import flag_measurements
+from pulsegrid.plans.bindings import rounded
 from pulsegrid.session import table
 
 
@@ -29,7 +30,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark, sf_dir)
+    return rounded(_grid(spark, sf_dir), "HR", "SpO2")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +91,28 @@ WITH heads AS (
 )
 """
 
+_CH = ("HR", "SpO2")
+_GRID_SQL = f"""
+WITH c AS (
+  SELECT stay_id, charttime AS t, {", ".join(f"avg(CASE WHEN NOT isnan({x}) THEN {x} END) AS {x}" for x in _CH)} FROM charts
+  WHERE stay_id IS NOT NULL AND charttime IS NOT NULL AND NOT isnan(charttime) GROUP BY 1, 2
+), m AS (
+  SELECT stay_id, CAST(floor(t / 60) AS BIGINT) AS m, {", ".join(f"avg({x}) AS {x}, min(t) FILTER (WHERE {x} IS NOT NULL) AS ft_{x}, arg_min({x}, t) FILTER (WHERE {x} IS NOT NULL) AS fv_{x}, max(t) FILTER (WHERE {x} IS NOT NULL) AS lt_{x}, arg_max({x}, t) FILTER (WHERE {x} IS NOT NULL) AS lv_{x}" for x in _CH)}
+  FROM c GROUP BY 1, 2
+), n AS (
+  SELECT *, lead(m) OVER (PARTITION BY stay_id ORDER BY m) AS nx,
+    {", ".join(f"last_value(lt_{x} IGNORE NULLS) OVER b AS pt_{x}, last_value(lv_{x} IGNORE NULLS) OVER b AS pv_{x}, first_value(ft_{x} IGNORE NULLS) OVER a AS nt_{x}, first_value(fv_{x} IGNORE NULLS) OVER a AS nv_{x}" for x in _CH)}
+  FROM m WINDOW b AS (PARTITION BY stay_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY stay_id ORDER BY m ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), e AS (
+  SELECT *, unnest(generate_series(m, CASE WHEN nx - m - 1 <= 720 THEN nx - 1 ELSE m END)) AS minute FROM n
+)
+SELECT stay_id, minute, {", ".join(f"round(CASE WHEN minute = m AND {x} IS NOT NULL THEN {x} WHEN nt_{x} - pt_{x} <= 43200 THEN (pv_{x} + nv_{x}) / 2 END, 6) + 0.0 AS {x}, CASE WHEN minute = m AND {x} IS NOT NULL THEN 'observed' WHEN nt_{x} - pt_{x} <= 43200 THEN 'filled' ELSE 'missing' END AS {x}_state" for x in _CH)} FROM e
+"""
+
 SQL = {
     "p3_found": _JUDGED + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_loaded": _JUDGED + "SELECT line_id, value, CAST(is_anomaly AS INTEGER) AS is_anomaly FROM judged WHERE reason IS NULL",
+    "p5_grid": _GRID_SQL,
     "p5_found": """
 WITH c AS (
   SELECT stay_id, CAST(floor(charttime / 60) AS BIGINT) AS m, HR, SpO2 FROM charts WHERE stay_id IS NOT NULL AND charttime IS NOT NULL AND NOT isnan(charttime)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid import registry
 from pulsegrid.functions import dsp, parse, stats
 from pulsegrid.operators import gate, labeling, methods, metrics, models, votes, windowing
+from pulsegrid.operators.ranking import with_global_rank
 from pulsegrid.plans import bindings as B
 from pulsegrid.session import table
 from pulsegrid.sources import llm_cache, series
@@ -817,11 +818,9 @@ def q_p15_gather(s, d):
 
 @query("SELECT vec_id AS item, CASE WHEN r <= greatest(1, n // 2) THEN 'fit' ELSE 'calibrate' END AS half FROM (SELECT CAST(vec_id AS BIGINT) AS vec_id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings WHERE vec_id % 3 = 0)")
 def q_p20_half_split(s, d):
-    from pulsegrid.operators.positions import with_position
-
-    gold = B.gold(s, d).withColumn("one", F.lit(1))
+    gold = B.gold(s, d)
     n = gold.count()
-    placed = with_position(gold, ["one"], F.floor(F.col("item") / 1024), [F.col("item")], "r")
+    placed = with_global_rank(gold, [F.col("item")], "r")
     return placed.select("item", F.when(F.col("r") < max(1, n // 2), "fit").otherwise("calibrate").alias("half"))
 
 
@@ -898,10 +897,8 @@ def q_t3_merged_points(s, d):
 
 @query(f"WITH {B.COUNTS}, e AS (SELECT item, round(-sum(share * ln(share + 1e-9)), 9) AS entropy FROM counts GROUP BY 1) SELECT item, CAST(row_number() OVER (ORDER BY entropy DESC, item) AS BIGINT) AS rank FROM e")
 def q_w8_rank(s, d):
-    from pulsegrid.operators.positions import with_position
-
-    e = votes.vote_entropy(B.votes(s, d)).select("item", F.round("entropy", 9).alias("entropy"), F.lit(1).alias("one"))
-    placed = with_position(e, ["one"], -F.floor(F.col("entropy") * 64), [F.desc("entropy"), F.col("item")], "r")
+    e = votes.vote_entropy(B.votes(s, d)).select("item", F.round("entropy", 9).alias("entropy"))
+    placed = with_global_rank(e, [F.desc("entropy"), F.col("item")], "r")
     return placed.select("item", (F.col("r") + 1).alias("rank"))
 
 

@@ -50,6 +50,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A plain scan, hashed by key over all cores if it has fewer splits than the cluster has cores.
+
+    For work that costs far more than moving its rows; large tables have splits enough and stay where they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one set here where a local session has none."""
     sc = spark.sparkContext
