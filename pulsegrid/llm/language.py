@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.blocks import text_blocks
+
 #: ISO 639-1 codes with their other codes and names.
 LANGUAGES = {
     "en": "eng english anglais englisch",
@@ -147,8 +149,8 @@ def document_frequencies(docs: DataFrame, text: str, block: int = 128) -> tuple[
         seen = np.zeros((block, DIM), np.uint8)
         for pdf in batches:
             texts = pdf[text].tolist()
-            for at in range(0, len(texts), block):
-                part = [t if isinstance(t, str) else "" for t in texts[at : at + block]]
+            for at, end in text_blocks(texts, block):
+                part = [t if isinstance(t, str) else "" for t in texts[at:end]]
                 s = segment(part)
                 seen[:] = 0
                 lengths = np.array([len(t) + 1 for t in part])
@@ -346,10 +348,10 @@ def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: in
     id_type = dict(docs.dtypes)[doc_id]
     schema = f"`{doc_id}` {id_type}, label_code string, " + (RESULT if with_segments else RESULT.split(", segments")[0])
 
-    def run(batches, block: int = 256):
+    def run(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), block):
-                part = pdf.iloc[at : at + block]
+            for at, end in text_blocks(pdf["text"].tolist()):
+                part = pdf.iloc[at:end]
                 s, best, conf, main, certainty, sure, letters = judge(part["text"].tolist(), held.value)
                 names = np.array(CODES, object)
                 known = letters > 0

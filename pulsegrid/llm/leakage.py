@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.blocks import text_blocks
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -88,17 +90,19 @@ def passage_frequencies(docs: DataFrame, text: str, vocabulary: dict[str, int],
         get, size = held.value.get, len(held.value)
         df, n = np.zeros(size, np.int64), 0
         for pdf in batches:
-            at, ids = [], []
-            for t in pdf[text]:
-                found = words(t)
-                ids.extend(get(w, -1) for w in found)
-                at.append(n + np.arange(len(found)) // passage)
-                n += -(-len(found) // passage)
-            if ids:
-                ids, place = np.array(ids), np.concatenate(at)
-                known = ids >= 0
-                pairs = np.unique(place[known] * size + ids[known])
-                df += np.bincount(pairs % size, minlength=size)
+            texts = pdf[text].tolist()
+            for start, end in text_blocks(texts):
+                at, ids = [], []
+                for t in texts[start:end]:
+                    found = words(t)
+                    ids.extend(get(w, -1) for w in found)
+                    at.append(n + np.arange(len(found)) // passage)
+                    n += -(-len(found) // passage)
+                if ids:
+                    ids, place = np.array(ids), np.concatenate(at)
+                    known = ids >= 0
+                    pairs = np.unique(place[known] * size + ids[known])
+                    df += np.bincount(pairs % size, minlength=size)
         used = np.flatnonzero(df)
         yield pd.DataFrame({"w": np.append(used, -1), "n": np.append(df[used], n)})
 
@@ -277,11 +281,11 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     df, passages = passage_frequencies(docs, text, test.vocabulary)
     held = spark.sparkContext.broadcast(fit_latent(spark, test, df, passages, rank))
 
-    def search(batches, block: int = 256):
+    def search(batches):
         for pdf in batches:
             names, texts, rows = pdf[doc_id].tolist(), pdf[text].tolist(), []
-            for at in range(0, len(texts), block):
-                rows += [(names[at + d], i, c) for d, i, c in search_block(texts[at : at + block], held.value)]
+            for at, end in text_blocks(texts):
+                rows += [(names[at + d], i, c) for d, i, c in search_block(texts[at:end], held.value)]
             yield pd.DataFrame(rows, columns=[doc_id, item_id, "coverage"])
 
     return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInPandas(search, schema)

@@ -11,16 +11,20 @@ from pulsegrid.llm.leakage import find_leaks, leaked_items
 from pulsegrid.llm.mixing import mix_sources
 from pulsegrid.llm.pairs import flag_pairs, main_defects
 from pulsegrid.llm.splits import components, deal, torn_groups
-from pulsegrid.session import materialize, table
+from pulsegrid.session import materialize, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more), "doc_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response")
+    rows = spread(table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response"), "trace_id")
     return main_defects(flag_pairs(rows), "trace_id")
 
 
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response")
+    rows = spread(table(spark, sf_dir, "raw_trace").select("trace_id", "prompt", "response"), "trace_id")
     return flag_pairs(rows).select("trace_id", F.explode_outer("defects").alias("defect")).where("defect is not null")
 
 
@@ -73,7 +77,7 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _languages(spark: SparkSession, sf_dir: str, segments: bool) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", with_segments=segments)
+    return identify(_documents(spark, sf_dir, "lang"), "doc_id", "lang", "text", with_segments=segments)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +94,7 @@ def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return find_leaks(_documents(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +106,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str):
-    return mix_sources(table(spark, sf_dir, "documents"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
+    return mix_sources(_documents(spark, sf_dir, "source"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
