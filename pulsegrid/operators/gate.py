@@ -1,6 +1,7 @@
 """Thresholds fitted on gold items, acceptance, and cost-aware verification.
 
-scores: (item, score, correct BOOLEAN[, is_gold]). Thresholds come as one-row frames, so that fit and use stay one plan."""
+scores: (item, score, correct BOOLEAN[, is_gold]). Thresholds come as one-row frames and are used as
+scalar subqueries, so that fit and use stay one plan."""
 
 from __future__ import annotations
 
@@ -55,7 +56,7 @@ def confidence_threshold(gold: DataFrame, confidence: str = "confidence", alpha:
 
 def accept(scores: DataFrame, tau: DataFrame, score: str = "score") -> DataFrame:
     """scores with accept = (score >= tau); tau is one row."""
-    return scores.crossJoin(F.broadcast(tau)).withColumn("accept", F.coalesce(F.col(score) >= F.col("tau"), F.lit(False))).drop("tau")
+    return scores.withColumn("accept", F.coalesce(F.col(score) >= tau.select("tau").scalar(), F.lit(False)))
 
 
 def verification_set(scores: DataFrame, item: str = "item", score: str = "score", cost: str = "token_cost", budget: float = 0.18) -> DataFrame:

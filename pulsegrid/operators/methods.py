@@ -70,7 +70,7 @@ def confidence_threshold(ctx: Context) -> DataFrame:
 def conformal_llm(ctx: Context) -> DataFrame:
     one = _single(ctx)
     q = gate.conformal_quantile(one.join(ctx.gold.select(ctx.item), ctx.item, "left_semi"), "confidence", ctx.alpha)
-    return _decide(one.crossJoin(F.broadcast(q)), "conformal_llm", F.coalesce((1 - F.col("confidence")) <= F.col("q"), F.lit(False)), ctx.item)
+    return _decide(one.withColumn("q", q.scalar()), "conformal_llm", F.coalesce((1 - F.col("confidence")) <= F.col("q"), F.lit(False)), ctx.item)
 
 
 #: The views at temperature 0, one per prompt variant.

@@ -19,7 +19,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def day_of(ts: str):
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 86_400_000_000)
+    return F.unix_date(F.col(ts).cast("date"))
 
 
 def windows(spark: SparkSession, sf: str, size: int = SIZE) -> DataFrame:

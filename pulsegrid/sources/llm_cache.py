@@ -45,7 +45,7 @@ def misses(calls: DataFrame, cache: DataFrame, key: str = "k") -> DataFrame:
 def cache_stats(calls: DataFrame, cache: DataFrame) -> DataFrame:
     """(hits, misses, n_keys)."""
     looked = probe(calls, cache).agg(F.sum(F.col("hit").cast("bigint")).alias("hits"), F.sum((~F.col("hit")).cast("bigint")).alias("misses"))
-    return looked.crossJoin(F.broadcast(cache.agg(F.count(F.lit(1)).alias("n_keys"))))
+    return looked.withColumn("n_keys", cache.agg(F.count(F.lit(1)).alias("n_keys")).scalar())
 
 
 def trace_entries(trace: DataFrame, order: Column) -> DataFrame:
