@@ -21,7 +21,6 @@ import base64
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,7 +166,7 @@ def mix_sources(
     report = (
         goals.select("source", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"))
         .join(got, "source", "left")
-        .crossJoin(F.broadcast(whole))
+        .withColumn("__all", whole.scalar())
         .select("source", "target_share", F.coalesce(F.col("tokens") / F.col("__all"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), "max_repeats", zero("most_copies"))
     )
     return mixture, report

@@ -73,7 +73,7 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = p4_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("group_id").alias("groups"))
     whole = got.agg(F.sum("windows").alias("__all"))
     goals = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), "share")
-    return goals.join(got, "split", "left").crossJoin(F.broadcast(whole)).select("split", "share", "groups", "windows", (F.col("windows") / F.col("__all")).alias("actual_share"))
+    return goals.join(got, "split", "left").withColumn("__all", whole.scalar()).select("split", "share", "groups", "windows", (F.col("windows") / F.col("__all")).alias("actual_share"))
 
 
 def _languages(spark: SparkSession, sf_dir: str, segments: bool) -> DataFrame:
