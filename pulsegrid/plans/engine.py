@@ -363,7 +363,21 @@ def q_a28_usage(s, d):
     return llm_cache.usage(table(s, d, "raw_trace"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT trace_id, response IS NULL AS gone, trim(response, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM raw_trace),
+b AS (SELECT *, string_split(s, '```') AS p FROM a),
+c AS (SELECT *, CASE WHEN NOT starts_with(s, '```') THEN s WHEN len(p) >= 3 THEN array_to_string(p[3:], '```') ELSE p[2] END AS u FROM b),
+d AS (SELECT *, CASE WHEN starts_with(u, 'json') AND starts_with(s, '```') THEN substr(u, 5) ELSE u END AS t FROM c),
+e AS (SELECT *, nullif(regexp_extract(t, '(?s)\{.*\}', 0), '') AS o FROM d),
+f AS (SELECT *, CASE WHEN o IS NOT NULL AND json_valid(o) THEN o END AS j FROM e),
+g AS (SELECT *, json_type(j, '$.label') AS lt, json_extract_string(j, '$.label') AS lv, json_type(j, '$.confidence') AS ct, json_extract_string(j, '$.confidence') AS cv FROM f),
+h AS (SELECT *, CASE WHEN lt IS NULL THEN 0 WHEN lt IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN trunc(try_cast(lv AS DOUBLE)) WHEN lt = 'VARCHAR' AND regexp_full_match(trim(lv), '[+-]?[0-9]+') THEN try_cast(lv AS DOUBLE) WHEN lt = 'BOOLEAN' THEN CASE WHEN lv = 'true' THEN 1 ELSE 0 END END AS jl,
+  CASE WHEN ct IS NULL THEN 0.5 WHEN ct IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'VARCHAR') THEN try_cast(cv AS DOUBLE) WHEN ct = 'BOOLEAN' THEN CASE WHEN cv = 'true' THEN 1 ELSE 0 END END AS jc,
+  try_cast(nullif(regexp_extract(t, '"label"\s*:\s*(-?\d+)', 1), '') AS DOUBLE) AS rl, coalesce(try_cast(nullif(regexp_extract(t, '"confidence"\s*:\s*([\d.]+)', 1), '') AS DOUBLE), 0.5) AS rc FROM g),
+i AS (SELECT *, j IS NOT NULL AND jl IS NOT NULL AND jc IS NOT NULL AS ok FROM h)
+SELECT trace_id, CAST(CASE WHEN gone THEN 0 WHEN ok THEN greatest(0, least(7, jl)) WHEN rl IS NOT NULL THEN greatest(0, least(7, rl)) ELSE 0 END AS INTEGER) AS label,
+  CAST(CASE WHEN gone THEN 0.5 WHEN ok THEN greatest(0.0, least(1.0, jc)) WHEN rl IS NOT NULL THEN greatest(0.0, least(1.0, rc)) ELSE 0.5 END AS DOUBLE) AS confidence FROM i"""
+)
 def q_d6_parse(s, d):
     return parse.parse_answers(table(s, d, "raw_trace").select("trace_id", "response"), "response", 8).select("trace_id", "label", "confidence")
 
@@ -875,13 +889,30 @@ def q_j11_vote_share(s, d):
     return B.rounded(v.join(votes.vote_counts(v), ["item", "label"]).select("item", "view_idx", "label", "share"), "share")
 
 
-@query()
+_BLOCKS = """WITH ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS rn FROM events
+), cut AS (
+  SELECT user_id, value, rn // 32 AS window_no, rn % 32 AS pos, count(*) OVER (PARTITION BY user_id, rn // 32) AS n FROM ranked
+), sc AS (
+  SELECT user_id, window_no, pos, abs(rm - lm) + abs(rs - ls) AS score FROM (
+    SELECT user_id, window_no, pos, avg(value) OVER r AS rm, avg(value) OVER l AS lm, stddev_pop(value) OVER r AS rs, stddev_pop(value) OVER l AS ls FROM cut WHERE n = 32
+    WINDOW l AS (PARTITION BY user_id, window_no ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY user_id, window_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
+  WHERE pos BETWEEN 8 AND 23
+), p1 AS (SELECT user_id, window_no, arg_max(pos, (score, -pos)) AS a FROM sc GROUP BY 1, 2),
+p2 AS (SELECT s.user_id, s.window_no, any_value(a) AS a, arg_max(pos, (score, -pos)) FILTER (WHERE abs(pos - a) >= 8) AS b FROM sc s JOIN p1 USING (user_id, window_no) GROUP BY 1, 2),
+p3 AS (SELECT s.user_id, s.window_no, any_value(a) AS a, any_value(b) AS b, arg_max(pos, (score, -pos)) FILTER (WHERE abs(pos - a) >= 8 AND abs(pos - b) >= 8) AS c FROM sc s JOIN p2 USING (user_id, window_no) GROUP BY 1, 2)
+SELECT user_id, window_no, CAST(row_number() OVER (PARTITION BY user_id, window_no ORDER BY t) - 1 AS INTEGER) AS i, CAST(t AS INTEGER) AS t FROM (SELECT user_id, window_no, unnest([a, b, c]) AS t FROM p3) WHERE t IS NOT NULL"""
+
+
+@query(_BLOCKS)
 def q_j13_separated_points(s, d):
     found = B.arrays(s, d, 32).select(*B.KEYS, dsp.change_points_udf(3, "cusum")("values").alias("p"))
     return found.select(*B.KEYS, F.posexplode("p").alias("i", "t"))
 
 
-@query()
+@query(W("""SELECT user_id, window_no, CAST(row_number() OVER (PARTITION BY user_id, window_no ORDER BY pos) - 1 AS INTEGER) AS i, pos AS t FROM (
+  SELECT *, lag(e) OVER z AS pe, lead(e) OVER z AS ne, avg(e) OVER y + stddev_pop(e) OVER y AS thr, stddev_pop(value) OVER y AS sd FROM (SELECT *, coalesce((value - prev) * (value - prev), 0) AS e FROM nb)
+  WINDOW y AS (PARTITION BY user_id, window_no), z AS (PARTITION BY user_id, window_no ORDER BY pos)) WHERE pos BETWEEN 1 AND 14 AND sd >= 1e-6 AND e > thr AND e >= pe AND e > ne""", _NEIGHBOURS))
 def q_w5_refractory_peaks(s, d):
     return B.arrays(s, d).select(*B.KEYS, F.posexplode(dsp.peaks_udf(8.0)("values")).alias("i", "t"))
 
