@@ -4,7 +4,7 @@ Sparse multinomial logistic regression on TF-IDF character n-grams (n = 1 … 3,
 follow-the-regularised-leader (FTRL-proximal, elastic net) and calibrated by a temperature on held-out segments.
 
 * Document frequencies cover all documents (one pass). The classifier is fitted on a bounded sample of labelled documents,
-  at most `train_docs` of each language by hash of the id; segments that contradict their label after a first fit are
+  at most `train_docs` of each language by hash of the id, texts of up to `train_chars` characters first; segments that contradict their label after a first fit are
   left out of the second, because labels may be wrong and texts mixed. Copies with broken charsets are added, so that
   garbled texts keep their language.
 * Every text is judged whole: it is cut into segments at line ends and sentence ends, each segment gets a language and a
@@ -330,7 +330,7 @@ def judge(texts: list[str | None], model: Model, min_letters: int = 20, min_word
     return s, best, conf, main, certainty, sure, letters
 
 
-def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: int = 200, seed: int = 7, with_segments: bool = True) -> DataFrame:
+def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: int = 200, train_chars: int = 20_000, seed: int = 7, with_segments: bool = True) -> DataFrame:
     """(doc_id, label_code, lang, confidence, languages[, segments]) of each document.
 
     label_code is the language that the given label names, NULL if none. Texts cross to Python twice, in Arrow batches,
@@ -338,7 +338,7 @@ def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: in
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), code_of(F.col(label)).alias("label_code"))
     df, n_docs = document_frequencies(rows, "text")
-    ranked = rows.where("label_code is not null").select("__id", "label_code", F.row_number().over(Window.partitionBy("label_code").orderBy(F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
+    ranked = rows.where("label_code is not null and text is not null").select("__id", "label_code", F.row_number().over(Window.partitionBy("label_code").orderBy(F.length("text") > train_chars, F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
     chosen = ranked.where(F.col("rank") <= train_docs).select("__id").distinct()
     sample = rows.where("label_code is not null and text is not null").join(F.broadcast(chosen), "__id", "left_semi")
     sample = sample.select("__id", F.col("label_code").alias("code"), "text").orderBy("code", "__id").limit(2 * train_docs * len(CODES)).toPandas()
