@@ -76,6 +76,33 @@ def test_kmeanspp():
     assert len(models.kmeanspp_pick(np.zeros((10, 2)), 5)) == 1
 
 
+def test_draws_of_a_round_follow_kmeanspp():
+    x, start = np.array([[0.0], [1.0], [1.5], [4.0]]), np.array([0.0, 1.0, 2.25, 16.0])
+    want, got, rng = np.zeros((4, 4)), np.zeros((4, 4)), np.random.default_rng(3)
+    for a in range(1, 4):
+        left = np.minimum(start, ((x - x[a]) ** 2).ravel())
+        want[a] = start[a] / start.sum() * left / left.sum()
+    runs = 20_000
+    for _ in range(runs):
+        t = np.r_[np.inf, rng.exponential(size=3) / start[1:]]
+        at = np.flatnonzero(t <= 1e3)
+        pair = models.d2_draws(x[at], start[at], t[at], 1e3, 2, rng)
+        got[at[pair[0]], at[pair[1]]] += 1 / runs
+    assert np.abs(got - want).max() < 0.015
+
+
+def test_large_tables_are_seeded_as_a_whole(spark):
+    few = spark.range(6000).selectExpr("id AS item", "array(double(id % 3), 0D) AS x")
+    assert sorted(r["item"] % 3 for r in models.diverse_subset(few, "item", "x", 0.5).collect()) == [0, 1, 2]
+    x = np.random.default_rng(5).normal(size=(5000, 3)) * np.where(np.arange(5000) % 50, 0.01, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, x array<double>")
+    got = [r["item"] for r in models.diverse_subset(df, "item", "x", 0.02).collect()]
+    assert len(got) == len(set(got)) == 100
+    left = lambda at: ((x[:, None] - x[None, at]) ** 2).sum(axis=2).min(axis=1).sum()
+    whole = np.mean([left(models.kmeanspp_pick(x, 100, seed)) for seed in range(10)])
+    assert 0.75 * whole < left(got) < 1.25 * whole
+
+
 def test_whiten(spark):
     x = np.random.default_rng(2).normal(3, 2, (20, 3))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, f array<double>")
