@@ -330,6 +330,12 @@ def q_s13_cache_first(s, d):
     return _cache(s, d)
 
 
+@query(f"WITH {_TRACE_ENTRIES} SELECT k, arg_min(r, o) AS r FROM entries WHERE k IS NOT NULL AND r IS NOT NULL GROUP BY 1")
+def q_s13_cache_whole(s, d):
+    """The cache as all views left it."""
+    return llm_cache.first_entries(_entries(s, d), F.col("o"))
+
+
 @query(f"WITH {_TRACE_ENTRIES} SELECT k, r FROM cache UNION ALL SELECT k, arg_min(r, o) FROM entries WHERE k IS NOT NULL AND r IS NOT NULL AND k NOT IN (SELECT k FROM cache) GROUP BY 1")
 def q_s14_cache_append(s, d):
     return llm_cache.append_new(_cache(s, d), llm_cache.first_entries(_entries(s, d), F.col("o")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.parse import parse_answers, strip_fence
 from pulsegrid.operators import labeling
+from pulsegrid.plans import engine
 from pulsegrid.sources import llm_cache
 
 CASES = [
@@ -99,3 +100,11 @@ def test_retries_and_quota(spark):
 def test_prompt_wording():
     assert labeling.template_kind(("false_alarm", "true_alarm")) == "binary" and labeling.template_kind(("normal",)) == "multi"
     assert labeling.class_list(("a", "b")) == "0=a, 1=b"
+
+
+def test_cache_of_the_whole_trace(spark, sf):
+    trace = spark.read.parquet(f"{sf}/raw_trace.parquet").where("prompt is not null and response is not null")
+    keys = trace.select(llm_cache.cache_key(F.coalesce("model", F.lit(llm_cache.DEFAULT_MODEL)), F.coalesce("temperature", F.lit(llm_cache.DEFAULT_TEMPERATURE)), F.col("prompt")).alias("k"), "view_id")
+    want = {r["k"] for r in keys.collect()}
+    got = {r["k"] for r in engine.QUERIES["q_s13_cache_whole"](spark, sf).collect()}
+    assert got == want and len(want) > len({r["k"] for r in keys.where("view_id < 6").collect()})
