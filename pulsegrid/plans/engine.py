@@ -617,7 +617,7 @@ def q_l9_llmaa(s, d):
 @query()
 def q_m2_predictor(s, d):
     ctx = B.context(s, d)
-    model = models.FeaturePredictor(B.CLASSES, trees=20).fit(ctx.features.join(ctx.gold, "item"))
+    model = models.FeaturePredictor(B.CLASSES).fit(ctx.features.join(ctx.gold, "item"))
     return model.predict(ctx.features).select("item", "pred", "confidence")
 
 
@@ -971,7 +971,7 @@ def q_d7_failed_calls(s, d):
 def q_m4_downstream(s, d):
     ctx = B.context(s, d, 0.2)
     taken = methods.pipeline(ctx, calibrated=False).where("accept").join(ctx.features, "item")
-    return models.downstream_f1(taken, ctx.features.join(B.truth(s, d), "item"), B.CLASSES, trees=20)
+    return models.downstream_f1(taken, ctx.features.join(B.truth(s, d), "item"), B.CLASSES)
 
 
 @query()

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import methods, models
-from pulsegrid.plans import bindings
+from pulsegrid.plans import bindings, engine
 
 
 def direct_em(votes, k, rounds):
@@ -132,3 +133,11 @@ def test_coverage_falls_with_alpha(spark, sf):
 def test_demonstrations(spark, sf):
     rows = methods.demo_prefix(methods.llmaa_neighbours(bindings.context(spark, sf)), [f"c{i}" for i in range(10)]).take(1)
     assert rows[0]["prefix"].count("\n") == 2 and rows[0]["prefix"].startswith("Example 1: label ")
+
+
+@pytest.mark.parametrize("name", ["q_m2_predictor", "q_m4_downstream"])
+def test_registered_forests_are_whole(spark, sf, monkeypatch, name):
+    trees = []
+    monkeypatch.setattr(models, "RandomForestClassifier", lambda **kw: trees.append(kw["numTrees"]) or RandomForestClassifier(**kw | {"numTrees": 2}))
+    engine.QUERIES[name](spark, sf).collect()
+    assert trees == [200]
