@@ -642,6 +642,14 @@ def q_m5_posterior(s, d):
     return B.rounded(post.select("item", F.posexplode("posterior").alias("k", "q")), "q")
 
 
+@query()
+def q_m5_posterior_fitted(s, d):
+    """The posteriors after all rounds; q_m5_posterior stops after the three that its SQL unrolls."""
+    rows = B.votes(s, d).where(F.col("view_idx").isin(*methods.LF_VIEWS)).select("item", F.col("view_idx").alias("lf_idx"), F.col("label").alias("vote"))
+    post = models.label_model(rows, methods.LF_VIEWS, B.CLASSES)[0]
+    return B.rounded(post.select("item", F.posexplode("posterior").alias("k", "q")), "q")
+
+
 @query("""WITH g AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), st AS (SELECT j, avg(x) AS m, stddev_pop(x) AS sd FROM g WHERE i % 3 = 0 GROUP BY 1)
 SELECT i AS item, CAST(g.j - 1 AS INTEGER) AS dim, round((x - m) / (sd + 1e-6), 6) + 0.0 AS x FROM g JOIN st ON st.j = g.j""")
 def q_a29_whiten(s, d):
@@ -869,6 +877,12 @@ def q_a30_source_accuracy(s, d):
     return B.rounded(models.label_model(rows, methods.LF_VIEWS, B.CLASSES, rounds=3)[1], "accuracy")
 
 
+@query()
+def q_a30_source_accuracy_fitted(s, d):
+    rows = B.votes(s, d).where(F.col("view_idx").isin(*methods.LF_VIEWS)).select("item", F.col("view_idx").alias("lf_idx"), F.col("label").alias("vote"))
+    return B.rounded(models.label_model(rows, methods.LF_VIEWS, B.CLASSES)[1], "accuracy")
+
+
 @query(W("SELECT CAST(sum(label) AS BIGINT) AS positive, count(*) AS windows, count(DISTINCT label) AS labels FROM (SELECT user_id, window_no, CAST(max(CASE WHEN value > 150 THEN 1 ELSE 0 END) AS INTEGER) AS label FROM w GROUP BY 1, 2)"))
 def q_a31_label_counts(s, d):
     flagged = windowing.window_flag(B.windows(s, d), B.KEYS, F.col("value") > 150)

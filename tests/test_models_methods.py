@@ -141,3 +141,11 @@ def test_registered_forests_are_whole(spark, sf, monkeypatch, name):
     monkeypatch.setattr(models, "RandomForestClassifier", lambda **kw: trees.append(kw["numTrees"]) or RandomForestClassifier(**kw | {"numTrees": 2}))
     engine.QUERIES[name](spark, sf).collect()
     assert trees == [200]
+
+
+def test_label_model_queries_are_fitted(spark, sf):
+    rows = bindings.votes(spark, sf).where(F.col("view_idx").isin(*methods.LF_VIEWS)).orderBy("item", "view_idx").collect()
+    post, acc = direct_em(np.array([r["label"] for r in rows]).reshape(-1, 3), bindings.CLASSES, 50)
+    got = engine.QUERIES["q_m5_posterior_fitted"](spark, sf).orderBy("item", "k").collect()
+    assert np.allclose(np.array([r["q"] for r in got]).reshape(-1, bindings.CLASSES), post, atol=1e-6)
+    assert np.allclose([r["accuracy"] for r in engine.QUERIES["q_a30_source_accuracy_fitted"](spark, sf).orderBy("lf_idx").collect()], acc, atol=1e-6)
