@@ -83,13 +83,13 @@ def fit_ar(r: np.ndarray, order: int, rounds: int = 4) -> np.ndarray:
     return np.clip(coef, -0.95, 0.95)
 
 
-def find_spikes(v: np.ndarray, floor: float, threshold: float = 6.0, max_spike: int = 3, order: int = 2, level_half: int = 7, scale_half: int = 20, rounds: int = 6) -> np.ndarray:
+def find_spikes(v: np.ndarray, floor: float, threshold: float = 6.0, max_spike: int = 3, order: int = 2, level_half: int = 7, scale_half: int = 20) -> np.ndarray:
     """Boolean mask of the additive outliers of one series of readings in the order of time."""
     n, y = len(v), v.astype(float).copy()
     flagged = np.zeros(n, bool)
     if n < 4:
         return flagged
-    for _ in range(rounds):
+    while True:
         level = _running_median(y, level_half)
         r = y - level
         coef = fit_ar(r, order)
@@ -124,12 +124,11 @@ def find_spikes(v: np.ndarray, floor: float, threshold: float = 6.0, max_spike:
             if all(abs(x) > least and np.sign(x) == side for x in off):
                 new.append((a, z))
         if not new:
-            break
+            return flagged
         for a, z in new:
             flagged[a : z + 1] = True
             around = [x[0] for x in (_side(y, flagged, a, -1), _side(y, flagged, z, 1)) if x is not None]
             y[a : z + 1] = np.mean(around) if around else level[a]
-    return flagged
 
 
 def _side(y: np.ndarray, flagged: np.ndarray, i: int, way: int, k: int = 5) -> tuple[float, np.ndarray] | None:

@@ -78,3 +78,12 @@ def test_copies_nulls_and_clashes(spark):
     got = sorted(map(tuple, flag_measurements(df, "id", "s", "t", {"HR": VITALS["HR"]}).collect()))
     assert got == [(20, "HR", "spike"), (100, "HR", "spike")]
     assert flag_measurements(df.limit(0), "id", "s", "t", {"HR": VITALS["HR"]}).count() == 0
+
+
+def test_rounds_go_on_until_nothing_new_is_found():
+    r = np.random.default_rng(100)
+    n = int(r.integers(40, 200))
+    v = 80 + np.cumsum(r.normal(0, 0.3, n)) + r.normal(0, 1, n)
+    at = r.choice(n, n // 4, replace=False)
+    v[at] += r.choice([-1, 1], n // 4) * 10 * np.exp(r.uniform(0, 3, n // 4))
+    assert find_spikes(v, VITALS["HR"].floor).sum() == 29  # 27 after six rounds
