@@ -334,14 +334,15 @@ def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: in
     """(doc_id, label_code, lang, confidence, languages[, segments]) of each document.
 
     label_code is the language that the given label names, NULL if none. Texts cross to Python twice, in Arrow batches,
-    and are never shuffled; the model (a few MB, of fixed size) is broadcast."""
+    and are never shuffled but for the sample, which takes repeated rows once; the model (a few MB, of fixed size) is broadcast."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), code_of(F.col(label)).alias("label_code"))
     df, n_docs = document_frequencies(rows, "text")
-    ranked = rows.where("label_code is not null and text is not null").select("__id", "label_code", F.row_number().over(Window.partitionBy("label_code").orderBy(F.length("text") > train_chars, F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= train_docs).select("__id").distinct()
-    sample = rows.where("label_code is not null and text is not null").join(F.broadcast(chosen), "__id", "left_semi")
-    sample = sample.select("__id", F.col("label_code").alias("code"), "text").orderBy("code", "__id").limit(2 * train_docs * len(CODES)).toPandas()
+    ranked = rows.where("label_code is not null and text is not null").select("__id", "label_code", F.dense_rank().over(Window.partitionBy("label_code").orderBy(F.length("text") > train_chars, F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
+    chosen = ranked.where(F.col("rank") <= train_docs).select("__id", "label_code").distinct()
+    sample = rows.where("label_code is not null and text is not null").join(F.broadcast(chosen), ["__id", "label_code"], "left_semi")
+    once = sample.groupBy("__id", F.col("label_code").alias("code")).agg(F.min_by("text", F.struct(F.length("text") > train_chars, "text")).alias("text"))
+    sample = once.orderBy("code", "__id").toPandas()
     if sample.empty and n_docs:
         raise ValueError("no row has a usable language label")
     held = spark.sparkContext.broadcast(fit(sample, df, n_docs, seed=seed) if len(sample) else None)

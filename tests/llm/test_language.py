@@ -73,3 +73,11 @@ def test_empty_and_unlabelled(spark):
     assert L.identify(empty, "d", "lang", "text").count() == 0
     with pytest.raises(ValueError):
         L.identify(spark.createDataFrame([(1, None, "text")], "d long, lang string, text string"), "d", "lang", "text")
+
+
+def test_sample_takes_repeated_rows_once(spark, monkeypatch):
+    samples = []
+    monkeypatch.setattr(L, "fit", lambda sample, *a, **k: samples.append(sample))
+    rows = [(i, "de", f"Text {i}") for i in (1, 2) for _ in range(20)] + [(i, "ru", f"Text {i}") for i in (2, 3, 4)]
+    L.identify(spark.createDataFrame(rows, "d long, lang string, text string"), "d", "lang", "text", train_docs=3)
+    assert [tuple(r) for r in samples[0][["__id", "code"]].to_numpy()] == [(1, "de"), (2, "de"), (2, "ru"), (3, "ru"), (4, "ru")]
