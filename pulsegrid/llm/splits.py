@@ -102,9 +102,11 @@ def torn_groups(membership: DataFrame, root: str, split: str) -> DataFrame:
 
 
 def deal(sizes: DataFrame, root: str, size: str, targets: DataFrame, name: str, share: str, max_heads: int = 256, seed: int = 17) -> DataFrame:
-    """(root, size, split): each component with its split. targets is a small table: (name, share), at most 100 rows."""
+    """(root, size, split): each component with its split. targets is a small table: (name, share), at most 100 rows (checked)."""
     spark = sizes.sparkSession
-    goals = [(r[0], max(r[1] or 0.0, 0.0)) for r in targets.where(F.col(name).isNotNull()).groupBy(name).agg(F.max(share)).limit(100).orderBy(name).collect()]
+    goals = [(r[0], max(r[1] or 0.0, 0.0)) for r in targets.where(F.col(name).isNotNull()).groupBy(name).agg(F.max(share)).limit(101).orderBy(name).collect()]
+    if len(goals) > 100:
+        raise ValueError("more than 100 splits")
     total_share = sum(s for _, s in goals)
     if total_share <= 0:
         raise ValueError("targets need a positive share")

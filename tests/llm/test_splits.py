@@ -72,3 +72,9 @@ def test_deal_empty_and_bad_targets(spark):
     assert deal(df, "root", "n", targets, "name", "share").count() == 0
     with pytest.raises(ValueError):
         deal(df, "root", "n", targets.limit(0), "name", "share")
+
+
+def test_too_many_splits_are_an_error(spark):
+    sizes, targets = spark.sql("select 1 as r, 2 as n"), spark.range(101).selectExpr("string(id) as name", "0.01D as share")
+    with pytest.raises(ValueError):
+        deal(sizes, "r", "n", targets, "name", "share")
