@@ -85,14 +85,21 @@ def entropy_weights(natural: list[float], target: float, rounds: int = 60) -> li
     return temper(natural, (low + high) / 2)
 
 
-def plan_weights(sources: list[Source], total: float | None = None, rounds: int = 60) -> tuple[dict[str, float], float, float]:
+def plan_weights(sources: list[Source], total: float | str | None = None, rounds: int = 60, target_entropy: float | None = None) -> tuple[dict[str, float], float, float]:
     """(weights, total tokens, exponent): target weights at the largest total that the repetition limits allow, or at
-    the asked total with the smallest exponent towards the natural shares that keeps within the limits."""
+    the asked total ('all': the tokens at hand) with the smallest exponent towards the natural shares that keeps within the
+    limits. With a target entropy, natural shares tempered to it, at the asked total or the largest that the limits allow."""
     at_hand = [s for s in sources if s.tokens > 0 and s.target > 0 and s.max_repeats >= 1]
     if not at_hand:
         return {}, 0.0, 0.0
     goal = temper([s.target for s in at_hand], 1.0)
     natural = temper([float(s.tokens) for s in at_hand], 1.0)
+    if total == "all":
+        total = float(sum(s.tokens for s in at_hand))
+    if target_entropy is not None:
+        tempered = entropy_weights(natural, target_entropy)
+        most = min(s.max_repeats * s.tokens / w for s, w in zip(at_hand, tempered) if w > 0)
+        return {s.name: w for s, w in zip(at_hand, tempered)}, most if total is None else min(total, most), 0.0
 
     def weights(b: float) -> list[float]:
         raw = [g ** (1 - b) * n**b for g, n in zip(goal, natural)]
@@ -118,30 +125,37 @@ def mix_sources(
     doc_id: str,
     source: str,
     text: str,
-    targets: DataFrame,
+    targets: DataFrame | None,
     share: str = "target_share",
     max_repeats: str = "max_repeats",
-    total: float | None = None,
+    total: float | str | None = None,
     path: str = DEFAULT_RANKS,
     block_docs: int = 512,
     seed: int = 11,
     max_sources: int = 10_000,
+    target_entropy: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). mixture: (doc_id, source, n_tokens, copies, block), one row per document taken. report: per
-    target source its share, actual share, tokens, documents and greatest number of copies.
+    target source its share, actual share, tokens, documents and greatest number of copies. total and target_entropy are
+    those of plan_weights; without targets every source is taken, once at most, and an entropy must be given.
 
     Only sums per source (at most max_sources) reach the driver. Running totals go over blocks of about block_docs
     documents: one row per block in the window per source, the documents of a block in a window of their own."""
     spark = docs.sparkSession
     named = docs.where(F.col(source).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
     sized = materialize(count_tokens(named, "text", ("doc_id", "source"), path).where("n_tokens > 0"), "tokens")
-    goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(share).alias("share"), F.max(max_repeats).alias("repeats")).limit(max_sources + 1)
     sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    if targets is not None:
+        goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(share).alias("share"), F.max(max_repeats).alias("repeats")).limit(max_sources + 1)
+    elif target_entropy is not None:
+        goals = sums.select("source", F.lit(None).cast("double").alias("share"), F.lit(1).alias("repeats")).limit(max_sources + 1)
+    else:
+        raise ValueError("without targets an entropy is needed")
     rows = goals.join(sums, "source", "left").collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    sources = [Source(r["source"], max(r["share"] or 0.0, 0.0), 1 if r["repeats"] is None else int(r["repeats"]), r["tokens"] or 0, r["docs"] or 0) for r in rows]
-    weights, total, _ = plan_weights(sources, total)
+    sources = [Source(r["source"], max(r["share"] or 0.0, 0.0) if targets is not None else 1.0, 1 if r["repeats"] is None else int(r["repeats"]), r["tokens"] or 0, r["docs"] or 0) for r in rows]
+    weights, total, _ = plan_weights(sources, total, target_entropy=target_entropy)
     plan = []
     for s in sources:
         if s.name in weights:

@@ -105,8 +105,8 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_leaks(spark, sf_dir), "item_id", "doc_id")
 
 
-def _mix(spark: SparkSession, sf_dir: str):
-    return mix_sources(_documents(spark, sf_dir, "source"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"))
+def _mix(spark: SparkSession, sf_dir: str, total: str | None = None):
+    return mix_sources(_documents(spark, sf_dir, "source"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), total=total)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p10_found, p10_segments, p10_documents)}
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the target sources hold: the repetition limits bind and the weights are tempered."""
+    return _mix(spark, sf_dir, "all")[0]
+
+
+def p9_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, "all")[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_segments, p10_documents)}
 
 SQL = {
     "p4_found": """

@@ -61,3 +61,23 @@ def test_empty(spark, docs):
     assert mixture.count() == 0 and report.first()["actual_share"] == 0.0
     mixture, _ = M.mix_sources(docs.limit(0), "id", "source", "text", targets)
     assert mixture.count() == 0
+
+
+def test_tempering_is_reached(spark, docs):
+    targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.3, 2), ("tiny", 0.3, 4)], "source string, target_share double, max_repeats int")
+    plain = {r["source"]: r for r in M.mix_sources(docs, "id", "source", "text", targets)[1].collect()}
+    got = {r["source"]: r for r in M.mix_sources(docs, "id", "source", "text", targets, total="all")[1].collect()}
+    held = M.count_tokens(docs.where("source <> 'unlisted'"), "text", ("id",)).agg({"n_tokens": "sum"}).first()[0]
+    assert sum(r["tokens"] for r in got.values()) == pytest.approx(held, rel=0.01) and held > 1.2 * sum(r["tokens"] for r in plain.values())
+    assert all(r["most_copies"] <= r["max_repeats"] for r in got.values()) and got["tiny"]["actual_share"] < 0.29
+    even = M.mix_sources(docs, "id", "source", "text", None, target_entropy=1.0)[1].collect()
+    assert len(even) == 4 and M.entropy([r["actual_share"] for r in even]) == pytest.approx(1.0, abs=0.03)
+    with pytest.raises(ValueError):
+        M.mix_sources(docs, "id", "source", "text", None)
+
+
+def test_tempered_query(spark, sf):
+    from pulsegrid.llm.queries import QUERIES
+
+    count = lambda name: sum(r["tokens"] for r in QUERIES[name](spark, sf).collect())
+    assert count("p9_tempered_shares") > count("p9_shares")
