@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.consensus import consensus, label_of, votes_of
 from pulsegrid.llm.language import identify, mislabelled
 from pulsegrid.llm.leakage import find_leaks, leaked_items
-from pulsegrid.llm.mixing import mix_sources
+from pulsegrid.llm.mixing import in_sequence, mix_sources
 from pulsegrid.llm.pairs import flag_pairs, main_defects
 from pulsegrid.llm.splits import components, deal, torn_groups
 from pulsegrid.session import materialize, spread, table
@@ -105,8 +105,8 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_leaks(spark, sf_dir), "item_id", "doc_id")
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: str | None = None):
-    return mix_sources(_documents(spark, sf_dir, "source"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), total=total)
+def _mix(spark: SparkSession, sf_dir: str, total: str | None = None, target_entropy: str | None = None):
+    return mix_sources(_documents(spark, sf_dir, "source"), "doc_id", "source", "text", table(spark, sf_dir, "mix_targets"), total=total, target_entropy=target_entropy)
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,17 @@ def p9_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, "all")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p10_found, p10_segments, p10_documents)}
+def p9_tempered_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tempered mixture laid out: a row per copy with its place."""
+    return in_sequence(_mix(spark, sf_dir, "all")[0], "doc_id")
+
+
+def p9_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural token shares tempered to the entropy of the target shares."""
+    return _mix(spark, sf_dir, None, "targets")[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p9_tempered_sequence, p9_entropy_shares, p10_found, p10_segments, p10_documents)}
 
 SQL = {
     "p4_found": """

@@ -81,3 +81,45 @@ def test_tempered_query(spark, sf):
 
     count = lambda name: sum(r["tokens"] for r in QUERIES[name](spark, sf).collect())
     assert count("p9_tempered_shares") > count("p9_shares")
+
+
+def test_shares_relative_to_targets_take_an_exponent():
+    s = [src("a", 0.5, 1, 1000), src("b", 0.3, 4, 100), src("c", 0.2, 2, 5000)]
+    w, _, e = M.plan_weights(s, 3000)
+    natural = {x.name: x.tokens / 6100 for x in s}
+    raw = {x.name: x.target * (natural[x.name] / x.target) ** e for x in s}
+    assert w == pytest.approx({n: x / sum(raw.values()) for n, x in raw.items()})
+    w, total, e = M.plan_weights(s, target_entropy="targets")
+    assert M.entropy(list(w.values())) == pytest.approx(M.entropy([0.5, 0.3, 0.2]), abs=1e-6) and 0 < e < 1
+    assert all(w[x.name] * total <= x.max_repeats * x.tokens + 1e-6 for x in s)
+
+
+@pytest.mark.parametrize(("total", "h"), [(None, None), (3000.0, None), (1e9, None), (500.0, "targets")])
+def test_many_sources_are_planned_alike(spark, total, h):
+    s = [src("a", 0.5, 1, 1000), src("b", 0.3, 4, 100), src("c", 0.2, 2, 5000), src("d", 0.0, 2, 10), src("e", 0.4, 2, 0)]
+    frame = spark.createDataFrame([(x.name, x.target, x.max_repeats, x.tokens) for x in s], "source string, target double, repeats int, tokens long")
+    _, want, e = M.plan_weights(s, total, target_entropy=h)
+    got = M.plan_distributed(spark, frame, total, h)
+    assert got[0] == pytest.approx(e, abs=1e-6) and got[1] == pytest.approx(want, rel=1e-6)
+
+
+def test_more_sources_than_the_driver_takes(spark, docs):
+    targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.3, 2), ("tiny", 0.3, 4)], "source string, target_share double, max_repeats int")
+    few, many = (sorted(map(tuple, M.mix_sources(docs, "id", "source", "text", targets, total="all", driver_sources=n)[0].collect())) for n in (10, 2))
+    assert few == many
+
+
+def test_sequence_permutes_every_pass(spark, docs):
+    targets = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.3, 2), ("tiny", 0.3, 4)], "source string, target_share double, max_repeats int")
+    mixture, report = M.mix_sources(docs.where("id <> 5"), "id", "source", "text", targets, total="all", block_docs=8)
+    rows = sorted(M.in_sequence(mixture, "id").collect(), key=lambda r: r["place"])
+    copies = {r["id"]: r["copies"] for r in mixture.collect()}
+    assert sorted((r["id"], r["turn"]) for r in rows) == sorted((i, t) for i, n in copies.items() for t in range(n)) and max(copies.values()) > 1
+    tiny = {t: [r["id"] for r in rows if r["source"] == "tiny" and r["turn"] == t] for t in (0, 1)}
+    assert set(tiny[0]) >= set(tiny[1]) and tiny[0] != tiny[1]
+    share = {r["source"]: r["actual_share"] for r in report.collect()}
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        whole = sum(r["n_tokens"] for r in part)
+        for s, x in share.items():
+            assert sum(r["n_tokens"] for r in part if r["source"] == s) / whole == pytest.approx(x, abs=0.03)
+    assert all(0 < r["place"] < 1 for r in rows)
