@@ -2,14 +2,16 @@
 
 Each file is read into a tagged union: per column (path) the alternatives among integer, decimal, boolean, datetime and
 text that its cells show, with their counts and a small profile of the content. The unions of successive files of a feed
-are fused: columns are matched by name, then by role and stem of the name together with the content (a rename), and what
-is left over was added or removed. The alternatives of all files of a feed stay side by side in the fused schema; rows
-come out with typed branches per path next to the canonical conversion (timestamp, value, is_anomaly, extras).
+are fused: columns are matched by name, then by content together with role and stem of the name (a rename), and what is
+left over was added or removed. A path keeps the type it last had and every alternative it has shown; a file that shows
+another type is a change, and whether that alternative appears for the first time is reported with it. The alternatives of
+all files of a feed stay side by side in the fused schema; rows come out with typed branches per path next to the canonical
+conversion (timestamp, value, is_anomaly, extras).
 
 Defined results
 * NULL or empty content, or a header without cells, is a file without columns.
-* Empty cells have no type. A column without any typed cell has no type; a change from or to it is no type change, and
-  the last known type goes on counting.
+* Empty cells have no type. A column without any typed cell has no type; a change to it is no type change, and the last
+  known type of the path goes on counting: integer, no type, text is a change in the third file.
 * The type of a column is that of its cells; of several, decimal covers integer, and other mixtures count as text if
   text is among them, else as the commonest type.
 * Of several files of one feed and file_seq only the one with the smallest file_id counts (re-delivery). Files without
@@ -23,13 +25,15 @@ import csv
 import io
 import math
 import re
+import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.positions import with_previous
+from pulsegrid.session import materialize
 
 #: Words for a boolean, and the names of the three canonical columns in reduced form.
 BOOLEAN_WORDS = {"true": 1, "false": 0, "yes": 1, "no": 0, "t": 1, "f": 0, "y": 1, "n": 0, "on": 1, "off": 0}
@@ -45,7 +49,6 @@ _DECIMAL = re.compile(r"[+-]?(?:\d+\.\d*|\.\d+|\d+(?=[eE]))(?:[eE][+-]?\d+)?")
 _DATETIME = re.compile(r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?")
 
 PROFILE = "name string, kind string, cells bigint, alternatives map<string,bigint>, low double, high double, mean double, words array<string>"
-CHANGES = "change string, field string"
 
 
 def kind_of(cell: str) -> str | None:
@@ -99,26 +102,38 @@ def _outside_quotes(line: str, d: str) -> int:
     return sum(part.count(d) for part in line.split('"')[::2])
 
 
+SKETCH = 24  #: distinct words of a text column that stand for its content: those of the smallest checksums
+
+
+def _sketch(words: set[str]) -> list[str]:
+    return sorted(sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:SKETCH])
+
+
 def profile_file(content: str | None) -> list[dict]:
     """The tagged union of one file: a profile per column."""
     names, rows = read_file(content)
     out = []
     for i, name in enumerate(names):
-        cells = [r[i].strip() for r in rows if i < len(r) and r[i].strip()]
-        tags = Counter(kind_of(c) for c in cells)
-        numbers = [float(c) for c in cells if _INTEGER.fullmatch(c) or _DECIMAL.fullmatch(c)]
-        numbers = [x for x in numbers if math.isfinite(x)]
-        words = sorted({c.lower() for c in cells})
+        cells = Counter(r[i].strip() for r in rows if i < len(r))
+        cells.pop("", None)
+        tags: Counter[str] = Counter()
+        numbers, low, high = 0, math.inf, -math.inf
+        total = 0.0
+        for c, n in cells.items():
+            tag = kind_of(c)
+            tags[tag] += n
+            if tag in ("integer", "decimal") and math.isfinite(x := float(c)):
+                numbers, total, low, high = numbers + n, total + x * n, min(low, x), max(high, x)
         out.append(
             {
                 "name": name,
                 "kind": union_kind(tags),
-                "cells": len(cells),
+                "cells": sum(tags.values()),
                 "alternatives": dict(tags),
-                "low": min(numbers, default=None),
-                "high": max(numbers, default=None),
-                "mean": sum(numbers) / len(numbers) if numbers else None,
-                "words": words if len(words) <= 24 else [],
+                "low": low if numbers else None,
+                "high": high if numbers else None,
+                "mean": total / numbers if numbers else None,
+                "words": _sketch({c.lower() for c in cells}),
             }
         )
     return out
@@ -148,8 +163,8 @@ def name_affinity(a: str, b: str) -> float:
 
 def content_affinity(a: dict, b: dict) -> float:
     """How well the content of b goes on that of a, in [0, 1]."""
-    if a["words"] and b["words"] and a["kind"] == b["kind"]:
-        x, y = set(a["words"]), set(b["words"])
+    x, y = set(a["words"]), set(b["words"])
+    if x and y and a["kind"] == b["kind"] and (max(len(x), len(y)) < SKETCH or a["mean"] is None):
         return len(x & y) / min(len(x), len(y))
     if a["mean"] is not None and b["mean"] is not None:
         low, high = min(a["low"], b["low"]), max(a["high"], b["high"])
@@ -157,8 +172,14 @@ def content_affinity(a: dict, b: dict) -> float:
     return 0.5 if None in (a["kind"], b["kind"]) or a["kind"] != b["kind"] else 0.3
 
 
-def fuse(before: list[dict], after: list[dict]) -> list[tuple[str, str]]:
-    """(change, field) between two successive files."""
+def same_content(a: dict, b: dict) -> bool:
+    """The cells themselves go on: most of at least three distinct ones come again in a column of the same type."""
+    x, y = set(a["words"]), set(b["words"])
+    return a["kind"] == b["kind"] and min(len(x), len(y)) >= 3 and len(x & y) >= 0.8 * min(len(x), len(y))
+
+
+def match(before: list[dict], after: list[dict]) -> tuple[list[tuple[str, str]], list[str], list[str]]:
+    """(pairs of names that are one path, names that were added, names that were removed) between two successive files."""
     old, new = {p["name"]: p for p in before}, {p["name"]: p for p in after}
     pairs = [(n, n) for n in new if n in old]
     gone, come = [n for n in old if n not in new], [n for n in new if n not in old]
@@ -166,18 +187,53 @@ def fuse(before: list[dict], after: list[dict]) -> list[tuple[str, str]]:
     for i, a in enumerate(gone):
         for j, b in enumerate(come):
             affinity = name_affinity(a, b)
-            if affinity > 0:
+            if affinity > 0 or same_content(old[a], new[b]):
                 scored.append((-(affinity + 0.5 * content_affinity(old[a], new[b])), i, j, a, b))
-    out, taken = [], set()
+    left, right = dict.fromkeys(gone), dict.fromkeys(come)
     for _, _, _, a, b in sorted(scored):
-        if ("-", a) not in taken and ("+", b) not in taken:
-            taken |= {("-", a), ("+", b)}
+        if a in left and b in right:
+            del left[a], right[b]
             pairs.append((a, b))
-            out.append(("renamed", b))
-    out += [("added", b) for b in come if ("+", b) not in taken]
-    out += [("removed", a) for a in gone if ("-", a) not in taken]
-    out += [("type_changed", b) for a, b in pairs if None not in (old[a]["kind"], new[b]["kind"]) and old[a]["kind"] != new[b]["kind"]]
-    return out
+    return pairs, list(right), list(left)
+
+
+@dataclass
+class Known:
+    """What is known of a path: the type it last had, and every alternative it has shown; inherited from `origin`, a path
+    at the start of the stretch of files, where that is not known yet."""
+
+    kind: str | None
+    seen: frozenset[str]
+    origin: str | None = None
+
+    def followed(self, column: dict) -> Known:
+        return Known(column["kind"] or self.kind, self.seen | frozenset(column["alternatives"]), self.origin)
+
+
+def start(columns: list[dict]) -> dict[str, Known]:
+    return {p["name"]: Known(p["kind"], frozenset(p["alternatives"])) for p in columns}
+
+
+def advance(state: dict[str, Known], before: list[dict], after: list[dict]) -> tuple[list[tuple], dict[str, Known]]:
+    """(changes, state after it) of one file after another one.
+
+    A change is (change, field, type before, type after, whether that alternative is new on the path, the path at the start of
+    the stretch that this depends on or None)."""
+    pairs, come, gone = match(before, after)
+    new = {p["name"]: p for p in after}
+    out = [("renamed", b, None, None, None, None) for a, b in pairs if a != b]
+    out += [("added", b, None, None, None, None) for b in come] + [("removed", a, None, None, None, None) for a in gone]
+    for a, b in pairs:
+        was, now = state[a].kind, new[b]["kind"]
+        if now is not None and was != now and (was is not None or state[a].origin is not None):
+            out.append(("type_changed", b, was, now, now not in state[a].seen, state[a].origin))
+    follow = start([new[b] for b in come]) | {b: state[a].followed(new[b]) for a, b in pairs}
+    return out, {p["name"]: follow[p["name"]] for p in after}
+
+
+def fuse(before: list[dict], after: list[dict]) -> list[tuple[str, str]]:
+    """(change, field) between two successive files."""
+    return [c[:2] for c in advance(start(before), before, after)[0]]
 
 
 def file_schemas(files: DataFrame, file_id: str = "file_id", content: str = "content", keep: tuple[str, ...] = ("feed", "file_seq")) -> DataFrame:
@@ -196,24 +252,88 @@ def _nested(fields: str) -> str:
 
 
 def schema_changes(files: DataFrame, file_id: str = "file_id", feed: str = "feed", seq: str = "file_seq", content: str = "content", bucket: int = 256) -> DataFrame:
-    """(file_id, change, field) of each change of a file against the previous one of its feed.
+    """(file_id, change, field, was, now, appears) of each change of a file against the previous ones of its feed; was, now
+    and appears (the alternative is new on its path) belong to type changes.
 
-    Contents are profiled where they lie; only profiles are shuffled, in buckets of `bucket` file numbers per feed."""
+    Contents are parsed once, where they lie; profiles are shuffled once, into stretches of `bucket` file numbers per feed.
+    A stretch is fused from its start with the paths' earlier types left open, and ends in one row of its own. A running
+    fusion over these rows (one per stretch, in the order of the feed, one batch at a time) gives every stretch the types its
+    paths had before, which settle what was left open."""
     profiles = file_schemas(files, file_id, content, (feed, seq)).where(F.col(feed).isNotNull() & F.col(seq).isNotNull())
-    one = profiles.groupBy(feed, seq).agg(F.min_by(F.struct(file_id, "schema"), file_id).alias("f"))
-    chained = with_previous(one, [feed], F.floor(F.col(seq) / bucket), seq, "f").where("prev is not null")
-    id_type = dict(files.dtypes)[file_id]
+    kinds = dict(files.dtypes)
+    stretch = profiles.withColumn("__b", F.floor(F.col(seq) / bucket)).repartition(feed, "__b").sortWithinPartitions(feed, "__b", seq, file_id)
+    head = f"feed {kinds[feed]}, b bigint, file_id {kinds[file_id]}, "
+    record = f"struct<{_nested(PROFILE)}>"
+    own = head + f"change string, field string, was string, now string, appears boolean, origin string, first array<{record}>, last array<{record}>, paths array<{_KNOWN}>"
 
-    def compare(batches):
-        for pdf in batches:
-            rows = [(now[file_id], change, field) for now, was in zip(pdf["f"], pdf["prev"]) for change, field in fuse(_plain(was["schema"]), _plain(now["schema"]))]
-            yield pd.DataFrame(rows, columns=[file_id, "change", "field"])
+    def fuse_stretch(batches):
+        at, state, first, last, number, first_id = None, {}, None, None, None, None
+        blank = dict.fromkeys(("change", "field", "was", "now", "appears", "origin", "first", "last", "paths"))
 
-    return chained.select("f", "prev").mapInPandas(compare, f"`{file_id}` {id_type}, {CHANGES}")
+        def end():
+            return blank | {"feed": at[0], "b": at[1], "file_id": first_id, "first": first, "last": last, "paths": _rows_of(state)}
+
+        for pdf in batches:
+            out = []
+            for fd, b, q, fid, schema in zip(pdf[feed], pdf["__b"], pdf[seq], pdf[file_id], pdf["schema"]):
+                if (fd, b) == at and q == number:
+                    continue  # a re-delivery
+                columns = _plain(schema)
+                if (fd, b) != at:
+                    if at is not None:
+                        out.append(end())
+                    at, first, first_id = (fd, b), columns, fid
+                    state = {n: Known(k.kind, k.seen, n) for n, k in start(columns).items()}
+                else:
+                    changes, state = advance(state, last, columns)
+                    out += [blank | {"feed": fd, "b": b, "file_id": fid} | dict(zip(("change", "field", "was", "now", "appears", "origin"), c)) for c in changes]
+                last, number = columns, q
+            yield pd.DataFrame(out, columns=_OWN)
+        if at is not None:
+            yield pd.DataFrame([end()], columns=_OWN)
+
+    fused = materialize(stretch.select(feed, "__b", seq, file_id, "schema").mapInPandas(fuse_stretch, own), "stretches")
+    borders = fused.where("change is null").select("feed", "b", "file_id", "first", "last", "paths").repartition("feed").sortWithinPartitions("feed", "b")
+    carried = head + "change string, field string, was string, now string, appears boolean, kind string, seen array<string>"
+
+    def fuse_borders(batches):
+        at, state, last = None, {}, None
+        for pdf in batches:
+            out = []
+            for fd, b, fid, first, end, paths in zip(*(pdf[c] for c in ("feed", "b", "file_id", "first", "last", "paths"))):
+                first, end = _plain(first), _plain(end)
+                come: dict[str, Known] = {}
+                if fd == at:
+                    changes, follow = advance(state, last, first)
+                    out += [(fd, b, fid, *c[:5], None, None) for c in changes]
+                    pairs = {y: x for x, y in match(last, first)[0]}
+                    come = {y: state[x] for y, x in pairs.items()}
+                    out += [(fd, b, fid, None, n, None, None, None, k.kind, sorted(k.seen)) for n, k in come.items()]
+                at, last = fd, end
+                empty = Known(None, frozenset())
+                state = {p["name"]: Known(p["kind"] or come.get(p["origin"], empty).kind, frozenset(p["seen"]) | come.get(p["origin"], empty).seen) for p in map(dict, paths)}
+            yield pd.DataFrame(out, columns=["feed", "b", "file_id", "change", "field", "was", "now", "appears", "kind", "seen"])
+
+    running = materialize(borders.mapInPandas(fuse_borders, carried), "borders")
+    before = running.where("change is null").select(F.col("feed").alias("__f"), F.col("b").alias("__b"), F.col("field").alias("__o"), "kind", "seen")
+    found = fused.where("change is not null")
+    met = found.join(before, (F.col("feed") == F.col("__f")) & (F.col("b") == F.col("__b")) & (F.col("origin") == F.col("__o")), "left")
+    met = met.withColumn("was", F.coalesce("was", "kind")).withColumn("appears", F.col("appears") & ~F.coalesce(F.array_contains("seen", F.col("now")), F.lit(False)))
+    settled = met.where("change <> 'type_changed' or (was is not null and was <> now)")
+    names = [F.col("file_id").alias(file_id), "change", "field", "was", "now", "appears"]
+    return settled.select(*names).unionByName(running.where("change is not null").select(*names))
+
+
+_KNOWN = "struct<name:string,kind:string,seen:array<string>,origin:string>"
+_OWN = ["feed", "b", "file_id", "change", "field", "was", "now", "appears", "origin", "first", "last", "paths"]
+
+
+def _rows_of(state: dict[str, Known]) -> list[dict]:
+    return [{"name": n, "kind": k.kind, "seen": sorted(k.seen), "origin": k.origin} for n, k in state.items()]
 
 
 def _plain(schema) -> list[dict]:
-    return [p | {"words": list(p["words"]) if p["words"] is not None else []} for p in map(dict, schema)]
+    return [p | {"words": list(p["words"]) if p["words"] is not None else [], "alternatives": dict(p["alternatives"])} for p in map(dict, schema)]
 
 
 def fused_schema(files: DataFrame, file_id: str = "file_id", feed: str = "feed", content: str = "content") -> DataFrame:
@@ -263,8 +383,10 @@ def unify_rows(files: DataFrame, file_id: str = "file_id", feed: str = "feed", s
 
     Re-delivered files are left out (smallest file_id of a feed and file_seq stays); rows that repeat within a file stay."""
     kept = files.select(file_id, feed, seq, content)
-    firsts = kept.groupBy(F.col(feed).alias("__f"), F.col(seq).alias("__q")).agg(F.min(file_id).alias("__i")).select("__i")
-    once = kept.join(firsts, F.col(file_id) == F.col("__i"), "left_semi")
+    numbered = files.where(F.col(feed).isNotNull() & F.col(seq).isNotNull()).groupBy(F.col(feed).alias("__f"), F.col(seq).alias("__q"))
+    again = numbered.agg(F.min(file_id).alias("__i"), F.collect_list(file_id).alias("__all")).where(F.size("__all") > 1)
+    again = again.select(F.explode(F.filter("__all", lambda x: x > F.col("__i"))).alias("__again"))
+    once = kept.join(again, F.col(file_id) == F.col("__again"), "left_anti")
     fields = [f"`{c}` {dict(files.dtypes)[c]}" for c in (file_id, feed, seq)]
 
     def load(batches):

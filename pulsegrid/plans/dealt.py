@@ -34,6 +34,11 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "series_files")).select("file_id", "change", "field")
+
+
+def p6_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the types before and after, and whether an alternative appears for the first time on its path."""
     return schema_changes(table(spark, sf_dir, "series_files"))
 
 
@@ -53,7 +58,7 @@ def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_measurements(table(spark, sf_dir, "charts"), "reading_id", "stay_id", "charttime")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_grid, p6_found, p6_rows, p6_schema, p7_found, p7_flags)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_grid, p6_found, p6_changes, p6_rows, p6_schema, p7_found, p7_flags)}
 
 _JUDGED = r"""
 WITH heads AS (
