@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from pulsegrid.operators.line_rescue import rescue_lines, split_lines
 from pulsegrid.operators.regular_grid import regular_grid, uncovered_cells
 from pulsegrid.operators.schema_drift import fused_schema, schema_changes, unify_rows
 from pulsegrid.operators.spikes import flag_measurements
 from pulsegrid.plans.bindings import rounded
-from pulsegrid.session import table
+from pulsegrid.session import real, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,14 @@ def p5_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_grid(spark, sf_dir), "HR", "SpO2")
 
 
+def p5_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cumulative counter with resets on the grid: the number of rows a stay has had since the shift of 12 hours began."""
+    charts = table(spark, sf_dir, "charts").select("reading_id", "stay_id", real(F.col("charttime")).alias("charttime")).where("stay_id is not null and charttime is not null")
+    shift = Window.partitionBy("stay_id", F.floor(F.col("charttime") / 43200)).orderBy("charttime", "reading_id")
+    counted = charts.select("stay_id", "charttime", F.row_number().over(shift).alias("readings"))
+    return rounded(regular_grid(counted, "stay_id", "charttime", counters=["readings"], cell="minute"), "readings")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "series_files")).select("file_id", "change", "field")
 
@@ -58,7 +67,7 @@ def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_measurements(table(spark, sf_dir, "charts"), "reading_id", "stay_id", "charttime")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_grid, p6_found, p6_changes, p6_rows, p6_schema, p7_found, p7_flags)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_loaded, p5_found, p5_grid, p5_counter, p6_found, p6_changes, p6_rows, p6_schema, p7_found, p7_flags)}
 
 _JUDGED = r"""
 WITH heads AS (
@@ -118,6 +127,30 @@ SQL = {
     "p3_found": _JUDGED + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_loaded": _JUDGED + "SELECT line_id, value, CAST(is_anomaly AS INTEGER) AS is_anomaly FROM judged WHERE reason IS NULL",
     "p5_grid": _GRID_SQL,
+    "p5_counter": """
+WITH k AS (
+  SELECT stay_id, charttime AS t, row_number() OVER (PARTITION BY stay_id, floor(charttime / 43200) ORDER BY charttime, reading_id) AS n
+  FROM charts WHERE stay_id IS NOT NULL AND charttime IS NOT NULL AND NOT isnan(charttime)
+), c AS (
+  SELECT stay_id, t, avg(n) AS v FROM k GROUP BY 1, 2
+), i AS (
+  SELECT stay_id, t, v, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM c WINDOW w AS (PARTITION BY stay_id ORDER BY t)
+), p AS (
+  SELECT stay_id, t, t2, CASE WHEN v2 < v THEN v2 ELSE v2 - v END / (t2 - t) AS rate, unnest(generate_series(CAST(floor(t / 60) AS BIGINT), CAST(floor(t2 / 60) AS BIGINT))) AS minute
+  FROM i WHERE t2 - t <= 43200
+), g AS (
+  SELECT stay_id, minute, sum(rate * (least(t2, (minute + 1) * 60.0) - greatest(t, minute * 60.0))) AS readings FROM p GROUP BY 1, 2
+), m AS (
+  SELECT stay_id, CAST(floor(t / 60) AS BIGINT) AS m FROM c GROUP BY 1, 2
+), n AS (
+  SELECT *, lead(m) OVER (PARTITION BY stay_id ORDER BY m) AS nx FROM m
+), e AS (
+  SELECT stay_id, m, unnest(generate_series(m, CASE WHEN nx - m - 1 <= 720 THEN nx - 1 ELSE m END)) AS minute FROM n
+)
+SELECT stay_id, minute, round(CASE WHEN minute = m THEN coalesce(readings, 0.0) ELSE readings END, 6) + 0.0 AS readings,
+  CASE WHEN minute = m THEN 'observed' WHEN readings IS NOT NULL THEN 'filled' ELSE 'missing' END AS readings_state
+FROM e LEFT JOIN g USING (stay_id, minute)
+""",
     "p5_found": """
 WITH c AS (
   SELECT stay_id, CAST(floor(charttime / 60) AS BIGINT) AS m, HR, SpO2 FROM charts WHERE stay_id IS NOT NULL AND charttime IS NOT NULL AND NOT isnan(charttime)
