@@ -44,3 +44,43 @@ def test_empty_table_and_all_types(spark):
     df = spark.createDataFrame([(1, P, P + " {")], "id int, prompt string, response string")
     assert flag_pairs(df).first()["defects"] == ["copy", "truncated"]
     assert flag_pairs(df.limit(0)).count() == 0
+
+
+Q = "What is the capital of France?"
+PROBES = [
+    (Q, "Paris is the capital of France.", []),
+    (Q, "Paris", []),
+    (Q, "It is on the Seine, and its name", ["truncated"]),
+    (P, "I would rather not classify this window, sorry.", ["refusal"]),
+    (P, "I can’t help with that.", ["refusal"]),
+    (P, "I'm unable to provide a label for this recording.", ["refusal"]),
+    (DE, "Das möchte ich lieber nicht entscheiden.", ["refusal"]),
+    (P, "申し訳ありませんが、この記録を分類することはできません。", ["refusal", "other_language"]),
+    (P, 'Sorry, I cannot answer this. {"label": 0, "confidence": 0.0}', ["refusal"]),
+    (P, '{"label": 2, "rationale": "I cannot give a higher confidence here, as the lead is noisy."}', []),
+    (P, "Jeg beklager, men jeg kan ikke hjelpe med dette.", ["refusal", "other_language"]),
+    (P, '{"label": 1, "rationale": "Hjertefrekvensen holder seg rundt 84 det meste av timen, og ingenting annet skiller seg ut."}', ["other_language"]),
+    (P, '{"label": 1, "rationale": "心拍数はほぼ一時間を通して安定しています。"}', ["other_language"]),
+    (P, '{"label": 1, "rationale": "Ο παλμός μένει σταθερός."}', ["other_language"]),
+    ("この記録を分類してください。", '{"label": 1, "rationale": "心拍数は安定しています。"}', []),
+    ("Я прошу выбрать один класс для этой записи.", "Пульс почти не меняется.", []),
+    (P, "Es tut mir leid, aber das kann ich nicht beurt", ["refusal", "truncated", "other_language"]),
+    (P, P[:120] + " {", ["copy", "truncated"]),
+]
+
+
+def test_probes(spark):
+    df = spark.createDataFrame([(i, p, r) for i, (p, r, _) in enumerate(PROBES)], "id int, prompt string, response string")
+    got = {r["id"]: r["defects"] for r in flag_pairs(df).collect()}
+    assert [(PROBES[i][1], got[i]) for i in range(len(PROBES))] == [(r, want) for _, r, want in PROBES]
+
+
+def test_words_are_counted_once_and_marks_do_not_stick():
+    import pyarrow as pa
+
+    from pulsegrid.llm.pairs import _CODES, language_hits, repeated_hits
+
+    texts = pa.array(["the “the” and… of", "", "l’heure est passée — et les autres", "x", "and of the 5 / 6", None])
+    got = language_hits(texts)
+    assert got[:, _CODES.index("en")].tolist() == [3, 0, 0, 0, 3, 0] and got[2, _CODES.index("fr")] == 5
+    assert (repeated_hits(texts.fill_null("")) == got).all() and language_hits(texts.slice(2, 2)).tolist() == got[2:4].tolist()
