@@ -101,7 +101,7 @@ _EDGE, _END = r"(?:^|[^\pL\pN])", r"(?:$|[^\pL\pN])"
 REFUSALS = [f"(?s){'' if code == 'other' else _EDGE}(?:{alone})" for code, (alone, _, _) in _REFUSING.items()]
 REFUSALS += [f"(?s){_EDGE}(?:{negation})(?: [\\pL'’-]+){{0,4}}? (?:{verbs}){_END}" for _, negation, verbs in _REFUSING.values() if verbs]
 #: The same at the beginning: only a greeting or an apology may come before it.
-OPENINGS = [x.replace("(?s)", r"(?s)^\W*(?:[\pL']+[^\pL.!?]+){0,5}?(?:[\pL']+)?", 1) for x in REFUSALS]
+OPENINGS = [x.replace("(?s)", r'(?s)^[^\pL\pN{"]*(?:[\pL\']+[ ,;!]+){0,5}?(?:[\pL\']+)?', 1) for x in REFUSALS]
 
 #: The commonest function words of languages written in Latin or Cyrillic letters.
 FUNCTION_WORDS = {
