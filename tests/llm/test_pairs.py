@@ -82,5 +82,5 @@ def test_words_are_counted_once_and_marks_do_not_stick():
 
     texts = pa.array(["the “the” and… of", "", "l’heure est passée — et les autres", "x", "and of the 5 / 6", None])
     got = language_hits(texts)
-    assert got[:, _CODES.index("en")].tolist() == [3, 0, 0, 0, 3, 0] and got[2, _CODES.index("fr")] == 5
+    assert got[:, _CODES.index("en")].tolist() == [3, 0, 0, 0, 3, 0] and got[2, _CODES.index("fr")] == 4
     assert (repeated_hits(texts.fill_null("")) == got).all() and language_hits(texts.slice(2, 2)).tolist() == got[2:4].tolist()
