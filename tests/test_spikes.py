@@ -87,3 +87,34 @@ def test_rounds_go_on_until_nothing_new_is_found():
     at = r.choice(n, n // 4, replace=False)
     v[at] += r.choice([-1, 1], n // 4) * 10 * np.exp(r.uniform(0, 3, n // 4))
     assert find_spikes(v, VITALS["HR"].floor).sum() == 29  # 27 after six rounds
+
+
+def test_long_series_are_judged_as_a_whole(spark):
+    """A noisy, autocorrelated series with changing spread: in chunks of any length it gets the flags of the whole one."""
+    rng, n = np.random.default_rng(11), 6000
+    r = np.zeros(n)
+    for i in range(1, n):
+        r[i] = 0.5 * r[i - 1] + rng.normal(0, 1.0 + (i // 700) % 3)
+    v = np.round(90 + r + 6 * np.sin(np.arange(n) / 400), 1)
+    at = rng.choice(np.arange(10, n - 10), 150, replace=False)
+    v[at] += rng.choice([-1, 1], 150) * rng.uniform(8, 40, 150)
+    rows, df = frame(spark, v)
+    df = df.unionByName(spark.createDataFrame([(7000 + i, 2, float(i), 80.0 + i % 3 + 60.0 * (i == 20)) for i in range(40)], df.schema))
+    one = {"HR": VITALS["HR"]}
+    got = [sorted(map(tuple, flag_measurements(df, "id", "s", "t", one, chunk=c).collect())) for c in (600, 1000, 10_000)]
+    alone = [(int(i), "HR", f) for i, f in enumerate(judge_series(v, VITALS["HR"])) if f]
+    assert got[2] == [*alone, (7020, "HR", "spike")] and len(alone) > 100
+    assert got[0] == got[2] and got[1] == got[2]
+
+
+def test_short_series_get_an_autoregression():
+    from pulsegrid.operators.spikes import Innovations, solve
+
+    rng, x = np.random.default_rng(2), [0.0]
+    for _ in range(59):
+        x.append(0.8 * x[-1] + rng.normal(0, 2))
+    s = Innovations(np.array(x) + 80)
+    coef, spread = solve(s.moments())
+    assert coef.any() and spread > 0
+    whole, half = s.moments(), s.moments(np.arange(60) < 30) + s.moments(np.arange(60) >= 30)
+    assert np.allclose(whole, half)
