@@ -10,7 +10,7 @@ from pulsegrid.llm.language import identify, mislabelled
 from pulsegrid.llm.leakage import find_leaks, leaked_items
 from pulsegrid.llm.mixing import in_sequence, mix_sources
 from pulsegrid.llm.pairs import flag_pairs, main_defects
-from pulsegrid.llm.splits import components, deal, torn_groups
+from pulsegrid.llm.splits import components, deal, torn_groups, tree_links
 from pulsegrid.session import materialize, spread, table
 
 
@@ -61,6 +61,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return torn_groups(listed.join(_groups(spark, sf_dir), "stay_id"), "root", "split").select(F.col("root").alias("stay_id"))
 
 
+def p4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_links(table(spark, sf_dir, "stay_moves"), "from_stay_id", "to_stay_id").groupBy("root").agg(F.count(F.lit(1)).alias("links"))
+
+
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = table(spark, sf_dir, "window_index").select("window_id", "stay_id").join(_groups(spark, sf_dir), "stay_id", "left")
     windows = materialize(windows, "windows")
@@ -136,9 +140,18 @@ def p9_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, None, "targets")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p9_tempered_sequence, p9_entropy_shares, p10_found, p10_segments, p10_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_defects, p2_found, p2_agreement, p2_reliability, p4_found, p4_forest, p4_splits, p4_shares, p8_found, p8_items, p9_mixture, p9_shares, p9_tempered, p9_tempered_shares, p9_tempered_sequence, p9_entropy_shares, p10_found, p10_segments, p10_documents)}
 
 SQL = {
+    "p4_forest": """
+WITH RECURSIVE e AS (
+  SELECT from_stay_id AS a, to_stay_id AS b FROM stay_moves WHERE from_stay_id <> to_stay_id
+  UNION SELECT to_stay_id, from_stay_id FROM stay_moves WHERE from_stay_id <> to_stay_id
+), reach(a, b) AS (
+  SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a
+)
+SELECT root, count(*) - 1 AS links FROM (SELECT a, min(b) AS root FROM reach GROUP BY 1) GROUP BY 1
+""",
     "p4_found": """
 WITH RECURSIVE e AS (
   SELECT from_stay_id AS a, to_stay_id AS b FROM stay_moves WHERE from_stay_id IS NOT NULL AND to_stay_id IS NOT NULL

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.splits import components, deal, spanning_forest, torn_groups
+from pulsegrid.llm.splits import components, deal, spanning_forest, torn_groups, tree_links
 
 
 def brute(edges):
@@ -78,3 +78,30 @@ def test_too_many_splits_are_an_error(spark):
     sizes, targets = spark.sql("select 1 as r, 2 as n"), spark.range(101).selectExpr("string(id) as name", "0.01D as share")
     with pytest.raises(ValueError):
         deal(sizes, "r", "n", targets, "name", "share")
+
+
+def test_rounds_on_the_cluster_and_in_one_task_give_one_forest(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(1000, 1000 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(2000, 2040)]
+    want = brute(edges)
+    found = []
+    for last in (0, 40, 65_536):
+        nodes, forest = spanning_forest(links(spark, edges), "a", "b", last_edges=last)
+        assert dict(map(tuple, nodes.collect())) == want
+        found.append(sorted(map(tuple, forest.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(want) - len(set(want.values()))
+    trees = tree_links(links(spark, edges), "a", "b").collect()
+    assert all(want[r["u"]] == want[r["v"]] == r["root"] for r in trees) and len(trees) == len(found[0])
+
+
+def test_many_large_groups_are_all_dealt(spark):
+    """More than 256 groups that each weigh more than a 64th of the smallest share."""
+    df = spark.createDataFrame([(i, 1000 - i) for i in range(600)], "root long, n long")
+    targets = spark.createDataFrame([("train", 0.5), ("validation", 0.25), ("test", 0.25)], "name string, share double")
+    rows = deal(df, "root", "n", targets, "name", "share").collect()
+    total = sum(r["n"] for r in rows)
+    assert len(rows) == 600
+    for name, share in (("train", 0.5), ("validation", 0.25), ("test", 0.25)):
+        assert abs(sum(r["n"] for r in rows if r["split"] == name) / total - share) < 0.005
