@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pulsegrid.plans import runner
 from pulsegrid.session import local_session
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "preprocess-anomaly":
         done = runner.preprocess_anomaly(spark, a.input, a.output, gold=a.gold_size, seed=a.seed)
     else:
-        done = runner.demo(spark, a.dataset, a.data_root, a.out, alpha=a.alpha, names=a.methods)
+        done = runner.demo(spark, a.dataset, a.data_root, a.out, alpha=a.alpha, names=a.methods, report=lambda line: print(line, file=sys.stderr))
     print(json.dumps(done, indent=2))
 
 

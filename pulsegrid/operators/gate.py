@@ -5,22 +5,25 @@ scalar subqueries, so that fit and use stay one plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.ranking import quantile, running_sums
+
 
 def conformal_threshold(scores: DataFrame, alpha: float = 0.05, least_errors: int = 10) -> DataFrame:
     """(tau): the (1 - alpha) quantile of the scores of errors; 1 with fewer than least_errors errors."""
     wrong = scores.where(~F.col("correct"))
-    return wrong.agg(F.coalesce(F.when(F.count(F.lit(1)) >= least_errors, F.percentile("score", F.lit(1 - alpha))), F.lit(1.0)).alias("tau"))
+    if wrong.count() < least_errors:
+        return scores.sparkSession.range(1).select(F.lit(1.0).alias("tau"))
+    return quantile(wrong, "score", 1 - alpha).select(F.coalesce("quantile", F.lit(1.0)).alias("tau"))
 
 
 def bernstein_scan(scores: DataFrame, delta: float = 0.05) -> DataFrame:
     """(score, k, err, bound) per distinct score, descending: the items at or above it, their error share and its empirical
-    Bernstein bound. Running sums go over distinct scores only, in one small sorted pass."""
+    Bernstein bound. Running sums go over distinct scores, by ranges of them."""
     levels = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(~F.col("correct"), 1).otherwise(0)).alias("e"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = levels.select("score", F.sum("n").over(down).alias("k"), F.sum("e").over(down).alias("bad")).withColumn("err", F.col("bad") / F.col("k"))
+    run = running_sums(levels, [F.desc("score")], {"n": "k", "e": "bad"}).select("score", "k", "bad").withColumn("err", F.col("bad") / F.col("k"))
     k, p = F.col("k"), F.col("err")
     variance = F.when(k > 1, k / (k - 1) * p * (1 - p)).otherwise(0.0)
     log_term = F.lit(-1.0) * F.log(F.lit(delta))
@@ -31,14 +34,14 @@ def bernstein_threshold(scores: DataFrame, alpha: float = 0.05, delta: float = 0
     """(tau): the lowest score of the passing run from the top (scan='prefix') or the lowest passing score ('global')."""
     rows = bernstein_scan(scores, delta).where(F.col("k") >= least).withColumn("ok", F.col("bound") <= alpha)
     if scan == "prefix":
-        down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("ok", F.min(F.col("ok").cast("int")).over(down) == 1)
+        failing = rows.agg(F.max(F.when(~F.col("ok"), F.col("score")))).first()[0]
+        rows = rows if failing is None else rows.withColumn("ok", F.col("ok") & (F.col("score") > failing))
     return rows.agg(F.coalesce(F.min(F.when(F.col("ok"), F.col("score"))), F.lit(1.0)).alias("tau"))
 
 
 def conformal_quantile(gold: DataFrame, confidence: str = "confidence", alpha: float = 0.05) -> DataFrame:
     """(q): the (1 - alpha) quantile of 1 - confidence over gold items."""
-    return gold.agg(F.percentile(1 - F.col(confidence), F.lit(1 - alpha)).alias("q"))
+    return quantile(gold.select((1 - F.col(confidence)).alias("__r")), "__r", 1 - alpha, "q")
 
 
 #: The confidence grid, from high to low.

@@ -1,10 +1,13 @@
 """Labelers: each gives decisions (item, method, pred, confidence, accept) from the same tables.
 
 ctx holds: votes (item, view_idx, label, confidence), gold (item, y), classes, and what some methods need on top: single
-(view outputs of one call at temperature 0), features (item, features), relabel (outputs of a second, warmer call)."""
+(view outputs of one call at temperature 0), features (item, features), costs (item, token_cost), and call, which makes further
+calls: call(items with an optional prefix, (view_idx, variant, temperature), nonce) gives (item, label, confidence). Without
+call, relabel (outputs of a second, warmer call) or the warm view of the votes stands in for a second call."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,6 +27,9 @@ class Context:
     relabel: DataFrame | None = None
     alpha: float = 0.05
     item: str = "item"
+    costs: DataFrame | None = None
+    call: Callable[[DataFrame, tuple[int, str, float], str | None], DataFrame] | None = None
+    names: tuple[str, ...] = ()
 
 
 def _decide(df: DataFrame, method: str, accept=None, item: str = "item") -> DataFrame:
@@ -106,7 +112,10 @@ def free_al(ctx: Context, share: float = 0.20) -> DataFrame:
     p = model.predict(ctx.features)
     entropy = F.aggregate("proba", F.lit(0.0), lambda a, x: a - x * F.log(x + F.lit(1e-9)))
     again = votes.refresh_set(p.select(ctx.item, entropy.alias("entropy")), ctx.item, share)
-    fresh = ctx.relabel if ctx.relabel is not None else ctx.votes.where("view_idx = 6")
+    if ctx.call is not None:
+        fresh = ctx.call(again.select(ctx.item), (6, "standard", 0.7), "relabel")
+    else:
+        fresh = ctx.relabel if ctx.relabel is not None else ctx.votes.where("view_idx = 6")
     fresh = fresh.select(ctx.item, F.col("label").alias("pred"), "confidence").join(again.select(ctx.item), ctx.item, "left_semi")
     return _decide(votes.override(base, fresh, ctx.item), "free_al", item=ctx.item)
 
@@ -128,8 +137,23 @@ def demo_prefix(demos: DataFrame, classes: list[str], item: str = "item") -> Dat
 
 
 def llmaa(ctx: Context) -> DataFrame:
-    """One call with demonstrations; ctx.single holds its outputs."""
-    return _decide(_single(ctx), "llmaa", item=ctx.item)
+    """One call at temperature 0 with the nearest gold items' labels as demonstrations before the summary."""
+    names = list(ctx.names) or [f"class_{i}" for i in range(ctx.classes)]
+    if ctx.call is None:
+        return _decide(_single(ctx), "llmaa", item=ctx.item)
+    asked = demo_prefix(llmaa_neighbours(ctx), names, ctx.item)
+    return _decide(ctx.call(asked, (4, "standard", 0.0), None).select(ctx.item, F.col("label").alias("pred"), "confidence"), "llmaa", item=ctx.item)
+
+
+def verified(decisions: DataFrame, truth: DataFrame, costs: DataFrame | None = None, budget: float = 0.18, item: str = "item") -> DataFrame:
+    """Decisions after a person has looked at the budgeted share of the rejected items that is worth most per cost: their
+    predictions become the truth, they are accepted, and `verified` tells them apart."""
+    cost = decisions.join(costs, item, "left") if costs is not None else decisions.withColumn("token_cost", F.lit(1.0))
+    open_ = cost.select(item, F.col("confidence").alias("score"), F.coalesce("token_cost", F.lit(1.0)).alias("token_cost"), "accept")
+    picked = gate.verification_set(open_, item, budget=budget).select(item).withColumn("__picked", F.lit(True))
+    met = decisions.join(picked, item, "left").join(truth.select(item, F.col("y").alias("__y")), item, "left")
+    seen = F.coalesce("__picked", F.lit(False)) & F.col("__y").isNotNull() & ~F.col("accept")
+    return met.select(item, "method", F.when(seen, F.col("__y")).otherwise(F.col("pred")).alias("pred"), "confidence", (F.col("accept") | seen).alias("accept"), seen.alias("verified"))
 
 
 METHODS = {f.__name__: f for f in (pipeline, full_llm, self_consistency, confidence_threshold, conformal_llm, snorkel_style, badge, prompted_ws, free_al, llmaa)}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.positions import with_position
-from pulsegrid.session import real
+from pulsegrid.session import materialize, real
 
 
 @dataclass(frozen=True)
@@ -272,7 +272,10 @@ def flag_measurements(
 
     counts = [F.count(real(F.col(x).cast("double"))) for x in names]
     long_sources = rows.groupBy(F.col(source).alias("__long")).agg(F.greatest(*counts, F.lit(0)).alias("__n")).where(F.col("__n") > chunk).select("__long")
-    parts = in_order(chunks(rows.join(long_sources, F.col(source) == F.col("__long"), "left_semi")))
+    long_sources = materialize(long_sources, "long")
+    n_long = long_sources.count()
+    few = F.broadcast(long_sources) if n_long <= 100_000 else long_sources
+    parts = in_order(chunks(rows.join(few, F.col(source) == F.col("__long"), "left_semi")))
     kinds = dict(parts.dtypes)
 
     def series(pdf: pd.DataFrame):
@@ -334,7 +337,8 @@ def flag_measurements(
         at = np.concatenate(places)
         return pd.DataFrame({row_id: pdf["__id"].to_numpy()[at], "channel": np.array(names, object)[ch[at]], "flag": np.concatenate(marks)})
 
-    return in_order(chunks(rows).unionByName(heads)).mapInPandas(whole_chunks(judge), f"`{row_id}` {dict(df.dtypes)[row_id]}, channel string, flag string")
+    cut = chunks(rows)
+    return in_order(cut.unionByName(heads) if n_long else cut).mapInPandas(whole_chunks(judge), f"`{row_id}` {dict(df.dtypes)[row_id]}, channel string, flag string")
 
 
 def _news(t: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import windowing
+from pulsegrid.operators import labeling, windowing
 from pulsegrid.operators.methods import Context
 from pulsegrid.registry import CLINICAL_CHANNELS, PROMPT_VARIANTS, TEMPERATURES
 from pulsegrid.session import table
@@ -94,7 +94,15 @@ def share_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def context(spark: SparkSession, sf: str, alpha: float = 0.1) -> Context:
     feats = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("features"))
-    return Context(votes(spark, sf).select("item", "view_idx", "label", "confidence"), gold(spark, sf), CLASSES, features=feats, alpha=alpha)
+
+    def call(items: DataFrame, view: tuple[int, str, float], nonce: str | None) -> DataFrame:
+        """Further calls, answered by the deterministic model that follows demonstrations."""
+        prefix = [F.col("prefix")] if "prefix" in items.columns else []
+        asked = items.select("item", F.concat_ws("\n", *prefix, F.concat(F.lit("recording "), F.col("item").cast("string"))).alias("summary"))
+        outputs, _, _ = labeling.label_windows(asked, [view], [f"class_{i}" for i in range(CLASSES)], labeling.DemoModel(CLASSES))
+        return outputs.select("item", "label", "confidence")
+
+    return Context(votes(spark, sf).select("item", "view_idx", "label", "confidence"), gold(spark, sf), CLASSES, features=feats, alpha=alpha, call=call)
 
 
 VITALS = list(CLINICAL_CHANNELS)

@@ -49,12 +49,21 @@ def versions(packages: Iterable[str] = PACKAGES) -> dict:
     return out
 
 
+def gpus() -> list[str]:
+    """The graphics processors that the driver's host reports, none if it has no tool to ask."""
+    try:
+        done = subprocess.run(["nvidia-smi", "--query-gpu=name,memory.total", "--format=csv,noheader"], capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.SubprocessError):
+        return []
+    return done.stdout.strip().splitlines() if done.returncode == 0 else []
+
+
 class Manifest:
     """Collects a run's provenance and writes it as JSON; start() and done() mark its life."""
 
     def __init__(self, folder: str | Path, config: Mapping | None = None, spark=None):
         self.folder = Path(folder)
-        self.data = {"config": dict(config or {}), "git": git_state(), "versions": versions(), "host": platform.node(), "platform": platform.platform(), "python": platform.python_version(), "inputs": {}, "usage": {}, "results": {}}
+        self.data = {"config": dict(config or {}), "git": git_state(), "versions": versions(), "host": platform.node(), "platform": platform.platform(), "python": platform.python_version(), "gpus": gpus(), "inputs": {}, "usage": {}, "results": {}}
         self.data["environment"] = {k: os.environ[k] for k in ENVIRONMENT if k in os.environ}
         self.data["environment"] |= {k: hashlib.sha256(os.environ[k].encode()).hexdigest()[:16] for k in SECRETS if os.environ.get(k)}
         if spark is not None:
@@ -73,6 +82,12 @@ class Manifest:
         self.data["inputs"] |= {str(p): sha256(p) for p in paths}
         return self
 
+    def add_dataset(self, root: str | Path, name: str) -> Manifest:
+        """The hash of every data file of a dataset on a local disk, in the order of their names."""
+        folder = Path(str(root).removeprefix("file://")) / name
+        self.data.setdefault("datasets", {})[name] = {str(p.relative_to(folder)): sha256(p) for p in sorted(folder.rglob("*.parquet")) if p.is_file()}
+        return self
+
     def add_results(self, paths: Iterable[str | Path]) -> Manifest:
         self.data["results"] |= {str(p): sha256(p) for p in paths}
         return self

@@ -108,3 +108,59 @@ def test_cache_of_the_whole_trace(spark, sf):
     want = {r["k"] for r in keys.collect()}
     got = {r["k"] for r in engine.QUERIES["q_s13_cache_whole"](spark, sf).collect()}
     assert got == want and len(want) > len({r["k"] for r in keys.where("view_id < 6").collect()})
+
+
+def test_calls_run_side_by_side_and_keep_their_tokens(spark):
+    import time
+
+    def slow(prompt, temperature):
+        time.sleep(0.2)
+        return labeling.Answer('{"label": 1}', 11, 3) if prompt != "p3" else '{"label": 2}'
+
+    calls = spark.createDataFrame([(f"k{i}", f"p{i}", 0.0) for i in range(16)], "k string, prompt string, temperature double").coalesce(1)
+    began = time.time()
+    got = {r["k"]: r for r in labeling.call_model(calls, slow, threads=16).collect()}
+    assert (got["k0"]["prompt_tokens"], got["k0"]["completion_tokens"], got["k3"]["prompt_tokens"]) == (11, 3, 0)
+    assert all(got[f"k{i}"]["prompt"] == f"p{i}" for i in range(16)) and time.time() - began < 16 * 0.2 + 10
+    assert sum(r["elapsed_s"] for r in got.values()) >= 16 * 0.2
+
+
+def test_endpoint_shares_connections_and_reports_usage():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = asked["messages"][0]["content"]
+            status, body = (429, b"quota used up") if text == "quota" else (500, b"broken") if text == "bad" else (200, json.dumps({"choices": [{"message": {"content": text.upper()}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}).encode())
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    call = labeling.endpoint(url, "key", "m")
+    answers = [call("hello", 0.0) for _ in range(5)]
+    assert answers[0] == "HELLO" and (answers[0].prompt_tokens, answers[0].completion_tokens) == (7, 2)
+    assert labeling.client_pool(url, 30.0).opened == 1
+    with pytest.raises(labeling.QuotaError):
+        call("quota", 0.0)
+    with pytest.raises(RuntimeError):
+        call("bad", 0.0)
+    server.shutdown()
+
+
+def test_hint_column(spark):
+    from pulsegrid.functions.dsp import hint_line
+
+    rows = [[0.2, 0.5, 0.3], [0.4, 0.4, 0.2], [1 / 3] * 3]
+    got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p array<double>").orderBy("i").select(labeling.hint_column(F.col("p"), ["a", "b", "c"])).collect()]
+    assert got == [hint_line(r, ["a", "b", "c"]) for r in rows]

@@ -45,3 +45,32 @@ def test_command_line_needs_a_job(capsys):
 
     with pytest.raises(SystemExit):
         main([])
+
+
+def test_halves_and_verifier(spark):
+    from pulsegrid.operators.methods import verified
+
+    second, first = runner.halved(spark.createDataFrame([(i * 3, i % 2) for i in range(7)], "item long, y int"))
+    assert sorted(r["item"] for r in first.collect()) == [0, 3, 6] and sorted(r["item"] for r in second.collect()) == [9, 12, 15, 18]
+    decisions = spark.createDataFrame([(i, "pipeline", 0, i / 10, i >= 5) for i in range(10)], "item long, method string, pred int, confidence double, accept boolean")
+    truth = spark.createDataFrame([(i, 1) for i in range(10)], "item long, y int")
+    got = {r["item"]: r for r in verified(decisions, truth, budget=0.2).collect()}
+    assert [i for i, r in got.items() if r["verified"]] == [0, 1] and (got[0]["pred"], got[0]["accept"]) == (1, True) and got[2]["accept"] is False and got[9]["pred"] == 0
+
+
+def test_windows_of_many_series_never_share_an_id(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for f in range(3):
+        (tmp_path / "in" / f"s{f}.csv").write_text("timestamp,value,is_anomaly\n" + "".join(f"{i},{f * 10_000 + i},0\n" for i in range(1205)))
+    assert runner.preprocess_anomaly(spark, str(tmp_path / "in"), str(tmp_path / "out"), size=1)["windows"] == 3 * 1205
+    rows = spark.read.parquet(str(tmp_path / "out" / "yahoo" / "windows")).collect()
+    assert len({r["window_id"] for r in rows}) == len(rows) == 3615 and all(len(r["values"]) == 1 for r in rows)
+
+
+def test_progress(spark):
+    from pulsegrid.plans.progress import Progress
+
+    lines = []
+    with Progress(spark, lines.append, every_s=0.05):
+        spark.range(1 << 22).selectExpr("sum(hash(id))").collect()
+    assert lines and lines[-1].endswith("done")
