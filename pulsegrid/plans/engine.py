@@ -580,12 +580,39 @@ def q_l4_conformal_llm(s, d):
     return _method("conformal_llm", 0.3)(s, d)
 
 
+def _em_tables(rounds: int, least: float = 0.0) -> str:
+    """The label model over the three sources, unrolled; votes below the least confidence abstain. Round r leaves its
+    posteriors in q<r> and its accuracies in a<r + 1>."""
+    out = [
+        B.VOTES,
+        f"v AS MATERIALIZED (SELECT item, view_idx AS m, label FROM votes WHERE view_idx IN (0, 4, 8) AND confidence >= {least})",
+        "i AS MATERIALIZED (SELECT DISTINCT item FROM votes)",
+        "k AS MATERIALIZED (SELECT CAST(range AS INTEGER) AS k FROM range(10))",
+        "a0 AS MATERIALIZED (SELECT DISTINCT m, 0.7::DOUBLE AS acc FROM v)",
+        "p0 AS MATERIALIZED (SELECT k, -ln(10.0::DOUBLE) AS lp FROM k)",
+    ]
+    for r in range(rounds):
+        out += [
+            f"s{r} AS MATERIALIZED (SELECT item, k.k, sum(ln((CASE WHEN v.label = k.k THEN a.acc ELSE (1 - a.acc) / 9 END) + 1e-6)) AS s FROM v JOIN a{r} a ON a.m = v.m CROSS JOIN k GROUP BY 1, 2)",
+            f"z{r} AS MATERIALIZED (SELECT i.item, p.k, p.lp + coalesce(s.s, 0) AS z FROM i CROSS JOIN p{r} p LEFT JOIN s{r} s ON s.item = i.item AND s.k = p.k)",
+            f"e{r} AS MATERIALIZED (SELECT item, k, exp(z - max(z) OVER (PARTITION BY item)) AS e FROM z{r})",
+            f"q{r} AS MATERIALIZED (SELECT item, k, e / (sum(e) OVER (PARTITION BY item) + 1e-6) AS q FROM e{r})",
+            f"a{r + 1} AS MATERIALIZED (SELECT v.m, least(greatest(avg(q.q), 0.1 + 1e-6), 1 - 1e-6) AS acc FROM v JOIN q{r} q ON q.item = v.item AND q.k = v.label GROUP BY 1)",
+            f"p{r + 1} AS MATERIALIZED (SELECT k, ln(avg(q) + 1e-6) AS lp FROM q{r} GROUP BY 1)",
+        ]
+    return "WITH " + ",\n".join(out)
+
+
+def _em_labels(method: str, least: float = 0.0) -> str:
+    return _em_tables(50, least) + f" SELECT item, '{method}' AS method, CAST(arg_min(k, -round(q, 12) + k * 1e-13) AS INTEGER) AS pred, round(max(q), 6) + 0.0 AS confidence, true AS accept FROM q49 GROUP BY item"
+
+
 @query()
 def q_l0_calibrated(s, d):
     return _method("pipeline")(s, d)
 
 
-@query()
+@query(_em_labels("label_model"))
 def q_l5_label_model(s, d):
     return _method("snorkel_style")(s, d)
 
@@ -595,7 +622,7 @@ def q_l6_badge(s, d):
     return _method("badge")(s, d)
 
 
-@query()
+@query(_em_labels("prompted_ws", 0.6))
 def q_l7_prompted_ws(s, d):
     return _method("prompted_ws")(s, d)
 
@@ -655,7 +682,7 @@ def q_m5_posterior(s, d):
     return B.rounded(post.select("item", F.posexplode("posterior").alias("k", "q")), "q")
 
 
-@query()
+@query(_em_tables(50) + " SELECT item, k, round(q, 6) + 0.0 AS q FROM q49")
 def q_m5_posterior_fitted(s, d):
     """The posteriors after all rounds; q_m5_posterior stops after the three that its SQL unrolls."""
     rows = B.votes(s, d).where(F.col("view_idx").isin(*methods.LF_VIEWS)).select("item", F.col("view_idx").alias("lf_idx"), F.col("label").alias("vote"))
@@ -890,7 +917,7 @@ def q_a30_source_accuracy(s, d):
     return B.rounded(models.label_model(rows, methods.LF_VIEWS, B.CLASSES, rounds=3)[1], "accuracy")
 
 
-@query()
+@query(_em_tables(50) + " SELECT CAST(m AS INTEGER) AS lf_idx, round(acc, 6) + 0.0 AS accuracy FROM a50")
 def q_a30_source_accuracy_fitted(s, d):
     rows = B.votes(s, d).where(F.col("view_idx").isin(*methods.LF_VIEWS)).select("item", F.col("view_idx").alias("lf_idx"), F.col("label").alias("vote"))
     return B.rounded(models.label_model(rows, methods.LF_VIEWS, B.CLASSES)[1], "accuracy")
@@ -950,6 +977,14 @@ def q_w5_refractory_peaks(s, d):
     return B.arrays(s, d).select(*B.KEYS, F.posexplode(dsp.peaks_udf(8.0)("values")).alias("i", "t"))
 
 
+@query("""SELECT window_id, CAST(view_idx AS INTEGER) AS view_idx, view, CAST((7 * window_id + CAST(round(10 * temperature) AS INTEGER)) % 8 AS INTEGER) AS label, round(0.5::DOUBLE + (window_id * 7 % 50) / 100.0::DOUBLE, 6) + 0.0 AS confidence FROM window_index, views""")
+def q_m7_calls(s, d):
+    """Every window under every view through prompts, calls, cache and parser, answered by arithmetic on the window's number."""
+    texts = table(s, d, "window_index").select("window_id", F.concat(F.lit("recording "), F.col("window_id").cast("string")).alias("summary"))
+    outputs, _, _ = labeling.label_windows(texts, B.VIEWS, registry.CLINICAL_CLASSES, labeling.DemoModel(8))
+    return B.rounded(outputs.select("window_id", "view_idx", "view", "label", "confidence"), "confidence")
+
+
 @query()
 def q_t3_merged_points(s, d):
     """The first three change points of all channels of a window, by time and then channel."""
