@@ -11,6 +11,8 @@ follow-the-regularised-leader (FTRL-proximal, elastic net) and calibrated by a t
   confidence, and the document's main language is the one with most letters in whole sentences.
 
 Defined results
+* Languages are those of LANGUAGES and, told by their script, those of SCRIPTS. A text in another language gets the one it
+  looks most like, with the confidence of a wording that training has not seen.
 * NULL, empty or letterless texts have no language: lang and confidence are NULL, languages is empty.
 * A document without any whole sentence takes the language of its whole text.
 * Ties go to the language that comes first in LANGUAGES. Repeated rows are judged one by one.
@@ -19,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +44,19 @@ LANGUAGES = {
     "ru": "rus russian русский",
 }
 CODES = tuple(LANGUAGES)
+#: Languages that their script tells, with the first and last letters of its blocks; Chinese characters beside Japanese
+#: syllables count as Japanese.
+SCRIPTS = {
+    "el": ("ell gre greek", (0x370, 0x3FF)),
+    "he": ("heb hebrew", (0x590, 0x5FF)),
+    "ar": ("ara arabic", (0x600, 0x6FF)),
+    "hi": ("hin hindi", (0x900, 0x97F)),
+    "th": ("tha thai", (0xE00, 0xE7F)),
+    "ja": ("jpn japanese", (0x3040, 0x30FF)),
+    "zh": ("zho chi chinese", (0x4E00, 0x9FFF)),
+    "ko": ("kor korean", (0xAC00, 0xD7AF)),
+}
+ALL_CODES = (*CODES, *SCRIPTS)
 BITS = 16
 DIM = 1 << BITS
 _MUL = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
@@ -72,10 +88,10 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def code_of(lang: Column) -> Column:
-    """ISO 639-1 code that a label names, also of other languages' two-letter codes; NULL if it names none."""
+    """ISO 639-1 code that a label names, of the languages that can be told; NULL if it names none of them."""
     text = F.lower(F.trim(lang))
     base = F.element_at(F.split(text, "[-_ ]"), 1)
-    known = F.create_map(*[x for code, names in LANGUAGES.items() for name in [code, *names.split()] for x in (F.lit(name), F.lit(code))])
+    known = F.create_map(*[x for code, names in [*LANGUAGES.items(), *((c, n) for c, (n, _) in SCRIPTS.items())] for name in [code, *names.split()] for x in (F.lit(name), F.lit(code))])
     return F.coalesce(F.try_element_at(known, text), F.try_element_at(known, base))
 
 
@@ -246,6 +262,19 @@ def _garbled(text: str, lang: str) -> list[str]:
     return [t for t in out if t != text]
 
 
+def held_out(codes: list[np.ndarray], share: int = 8, common: int = 3) -> np.ndarray:
+    """Which segments are held out: about one in `share` wordings, with all segments of that wording.
+
+    A wording is the sequence of a segment's common words (those of at least `common` segments), so that sentences which only
+    differ in names and numbers are held out together, and confidence is measured on wordings that training has not seen."""
+    words = ["".join(map(chr, c.tolist())).split() for c in codes]
+    seen: dict[str, int] = {}
+    for ws in words:
+        for w in set(ws):
+            seen[w] = seen.get(w, 0) + 1
+    return np.array([zlib.crc32(" ".join(w for w in ws if seen[w] >= common).encode("utf-8", "surrogatepass")) % share == 0 for ws in words], bool)
+
+
 def fit(sample: pd.DataFrame, df: np.ndarray, n_docs: int, text: str = "text", seed: int = 7, epochs: int = 2, batch: int = 256, garbled_share: float = 0.12) -> Model:
     """Fit on a bounded sample with columns text and code."""
     rng = np.random.default_rng(seed)
@@ -263,7 +292,7 @@ def fit(sample: pd.DataFrame, df: np.ndarray, n_docs: int, text: str = "text", s
             t = segment([kinds[int(rng.integers(len(kinds)))].replace("\n", " ")])
             codes.append(t.codes)
             y = np.append(y, labels[d])
-    fold = np.arange(len(codes)) % 10 == 0
+    fold = held_out(codes)
     keep = np.ones(len(codes), bool)
 
     def train(keep: np.ndarray) -> Ftrl:
@@ -303,30 +332,56 @@ def fit(sample: pd.DataFrame, df: np.ndarray, n_docs: int, text: str = "text", s
 RESULT = "lang string, confidence double, languages array<string>, segments array<struct<start:int,length:int,lang:string,confidence:double>>"
 
 
+def by_script(s: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ALL_CODES, share of the letters) of the script of each segment, -1 where it tells no language."""
+    out, share = np.full(len(s.starts), -1), np.zeros(len(s.starts))
+    if not len(s.starts) or not (s.codes >= 0x370).any() or s.codes.max() < 0x370:
+        return out, share
+    c = s.codes
+    counts = np.stack([np.add.reduceat(((c >= a) & (c <= z)).astype(np.int64), s.starts) for _, (a, z) in SCRIPTS.values()], axis=1)
+    names = list(SCRIPTS)
+    ja, zh = names.index("ja"), names.index("zh")
+    kana = counts[:, ja] > 0
+    counts[kana, ja] += counts[kana, zh]
+    counts[kana, zh] = 0
+    best = counts.argmax(axis=1)
+    most = counts[np.arange(len(best)), best]
+    told = 2 * most > np.maximum(s.letters, most)
+    out[told] = len(CODES) + best[told]
+    share[told] = most[told] / np.maximum(s.letters, most)[told]
+    return out, share
+
+
 def judge(texts: list[str | None], model: Model, min_letters: int = 20, min_words: int = 4, min_confidence: float = 0.8, min_alone: float = 0.97):
-    """Per text: (main language, confidence, languages in whole sentences, segments)."""
+    """Per text: (main language, confidence, languages in whole sentences, segments), languages as places in ALL_CODES."""
     s = segment(texts)
-    n, k = len(texts), len(CODES)
+    n, k = len(texts), len(ALL_CODES)
     logits, sums = model.scores(s)
     p = softmax(logits) if len(logits) else logits
     best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
     conf = p[np.arange(len(p)), best] if len(p) else np.zeros(0)
-    whole = (s.letters >= min_letters) & (s.words >= min_words)
+    script, share = by_script(s)
+    best, conf = np.where(script >= 0, script, best), np.where(script >= 0, share, conf)
+    # a short one is a whole sentence if what comes before it has ended; else it is the rest of a broken line
+    after = np.ones(len(s.starts), bool)
+    after[1:] = s.closed[:-1] | (s.doc[1:] != s.doc[:-1])
+    long = (s.letters >= min_letters) & (s.words >= min_words)
+    whole = long | (s.letters >= min_letters // 2) & (s.words >= 2) & s.closed & after | (script >= 0) & (s.letters >= 4)
     mass, sure = np.zeros((n, k)), np.zeros((n, k))
     np.add.at(mass, (s.doc[whole], best[whole]), s.letters[whole] * conf[whole])
-    safe = np.flatnonzero(whole & s.closed & (conf >= min_confidence))
+    safe = np.flatnonzero(whole & (s.closed | (script >= 0)) & (conf >= min_confidence))
     count = np.zeros((n, k), int)
     np.add.at(count, (s.doc[safe], best[safe]), 1)
-    safe = safe[(count[s.doc[safe], best[safe]] > 1) | (conf[safe] >= min_alone)]
+    safe = safe[(count[s.doc[safe], best[safe]] > 1) | long[safe] & (conf[safe] >= min_alone) | (script[safe] >= 0)]
     np.add.at(sure, (s.doc[safe], best[safe]), s.letters[safe])
     total, letters = np.zeros((n, sums.shape[1])), np.zeros(n)
     np.add.at(total, s.doc, sums)
     np.add.at(letters, s.doc, s.letters)
     overall = softmax(model.logits(total)) if n else total
     has = mass.sum(axis=1) > 0
-    main = np.where(has, mass.argmax(axis=1), overall[:, :k].argmax(axis=1)) if n else np.zeros(0, int)
-    share = np.where(has, mass[np.arange(n), main] / np.maximum(mass.sum(axis=1), 1e-9), 1.0)
-    certainty = share * np.where(has, 1.0, overall[np.arange(n), main])
+    main = np.where(has, mass.argmax(axis=1), overall.argmax(axis=1)) if n else np.zeros(0, int)
+    judged = np.bincount(s.doc[whole], s.letters[whole], n)
+    certainty = np.where(has, mass[np.arange(n), main] / np.maximum(judged, 1), overall.max(axis=1) if n else 0.0)
     return s, best, conf, main, certainty, sure, letters
 
 
@@ -338,9 +393,9 @@ def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: in
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"), code_of(F.col(label)).alias("label_code"))
     df, n_docs = document_frequencies(rows, "text")
-    ranked = rows.where("label_code is not null and text is not null").select("__id", "label_code", F.dense_rank().over(Window.partitionBy("label_code").orderBy(F.length("text") > train_chars, F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
+    ranked = rows.where(F.col("label_code").isin(*CODES) & F.col("text").isNotNull()).select("__id", "label_code", F.dense_rank().over(Window.partitionBy("label_code").orderBy(F.length("text") > train_chars, F.xxhash64("__id", F.lit(seed)), "__id")).alias("rank"))
     chosen = ranked.where(F.col("rank") <= train_docs).select("__id", "label_code").distinct()
-    sample = rows.where("label_code is not null and text is not null").join(F.broadcast(chosen), ["__id", "label_code"], "left_semi")
+    sample = rows.where(F.col("label_code").isin(*CODES) & F.col("text").isNotNull()).join(F.broadcast(chosen), ["__id", "label_code"], "left_semi")
     once = sample.groupBy("__id", F.col("label_code").alias("code")).agg(F.min_by("text", F.struct(F.length("text") > train_chars, "text")).alias("text"))
     sample = once.orderBy("code", "__id").toPandas()
     if sample.empty and n_docs:
@@ -354,14 +409,14 @@ def identify(docs: DataFrame, doc_id: str, label: str, text: str, train_docs: in
             for at, end in text_blocks(pdf["text"].tolist()):
                 part = pdf.iloc[at:end]
                 s, best, conf, main, certainty, sure, letters = judge(part["text"].tolist(), held.value)
-                names = np.array(CODES, object)
+                names = np.array(ALL_CODES, object)
                 known = letters > 0
                 out = {doc_id: part["__id"].to_numpy(), "label_code": part["label_code"].to_numpy(), "lang": np.where(known, names[main], None), "confidence": np.where(known, certainty, np.nan)}
-                out["languages"] = [[] if not known[i] else [CODES[main[i]], *[CODES[j] for j in np.flatnonzero(sure[i]) if j != main[i]]] for i in range(len(part))]
+                out["languages"] = [[] if not known[i] else [ALL_CODES[main[i]], *[ALL_CODES[j] for j in np.flatnonzero(sure[i]) if j != main[i]]] for i in range(len(part))]
                 if with_segments:
                     lists: list[list] = [[] for _ in range(len(part))]
                     for i in np.flatnonzero(s.letters > 0):
-                        lists[s.doc[i]].append({"start": int(s.offset[i]), "length": int(s.ends[i] - s.starts[i]), "lang": CODES[best[i]], "confidence": float(conf[i])})
+                        lists[s.doc[i]].append({"start": int(s.offset[i]), "length": int(s.ends[i] - s.starts[i]), "lang": ALL_CODES[best[i]], "confidence": float(conf[i])})
                     out["segments"] = lists
                 frame = pd.DataFrame(out)
                 frame["confidence"] = frame["confidence"].astype("Float64").mask(~known)

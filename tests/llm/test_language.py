@@ -81,3 +81,18 @@ def test_sample_takes_repeated_rows_once(spark, monkeypatch):
     rows = [(i, "de", f"Text {i}") for i in (1, 2) for _ in range(20)] + [(i, "ru", f"Text {i}") for i in (2, 3, 4)]
     L.identify(spark.createDataFrame(rows, "d long, lang string, text string"), "d", "lang", "text", train_docs=3)
     assert [tuple(r) for r in samples[0][["__id", "code"]].to_numpy()] == [(1, "de"), (2, "de"), (2, "ru"), (3, "ru"), (4, "ru")]
+
+
+def test_held_out_wordings_are_whole():
+    texts = [f"The {a} painted {i} boxes in {b}." for i, (a, b) in enumerate([("baker", "Rome"), ("smith", "Oslo"), ("cook", "Bonn"), ("clerk", "Lyon")] * 5)]
+    texts += [f"Nobody in {b} heard about the {a} again." for a, b in [("storm", "Kiel"), ("fair", "Pisa"), ("flood", "Graz")]]
+    s = L.segment(texts)
+    out = L.held_out([s.codes[a:b] for a, b, n in zip(s.starts, s.ends, s.letters) if n])
+    assert len(out) == len(texts) and len(set(out[20:].tolist())) == 1
+
+
+def test_scripts_tell_languages():
+    s = L.segment(["Ο παλμός μένει σταθερός.", "心拍数は安定しています。", "心率稳定。", "plain words only.", "Пульс стабилен.", "α decay", ""])
+    code, share = L.by_script(s)
+    first = {int(d): (L.ALL_CODES[c] if c >= 0 else None) for d, c in zip(s.doc[::-1], code[::-1])}
+    assert [first[i] for i in range(6)] == ["el", "ja", "zh", None, None, None] and (share[code >= 0] > 0.5).all()
