@@ -8,13 +8,14 @@ sentence's length) are candidates. A candidate counts if the longest common subs
 sentence, by words and by their weight, words equal up to one edit or transposition, and if most of its specific words
 (names and numbers: the answer check) are among them. The first line (instruction) and the last (question) are not passage.
 
-The test set is a stated query set: it is collected (at most max_items items), its basis broadcast, and every corpus row is
+The test set is a stated query set: it is collected in parts of bounded size, their basis is broadcast, and every corpus row is
 searched whole. The corpus is read twice (frequencies, search) and never shuffled; only counts per word are.
 
 Defined results
 * NULL or empty texts contain nothing; items without a passage line are judged by their whole text; NULL item texts never
   leak. Repeated documents are reported one by one, a document and item once.
-* Sentences of fewer than min_words words cannot be told from common phrases and are not searched.
+* Sentences of fewer than six words are searched together with their neighbours; a passage that is shorter as a whole has to
+  be there with every word.
 * Order and spelling of columns beyond the named ones do not matter.
 """
 
@@ -44,11 +45,18 @@ def words(text: str | None) -> list[str]:
 
 
 def passage_sentences(text: str | None, min_words: int = 6) -> list[list[str]]:
-    """Sentences of the passage of a test item: the lines between the instruction and the question."""
+    """Sentences of the passage of a test item: the lines between the instruction and the question.
+
+    Sentences of fewer than min_words words are searched together with their neighbours, as one."""
     lines = [x for x in (text or "").split("\n") if x.strip()]
     middle = lines[1:-1] if len(lines) >= 3 else lines
-    sentences = [words(s) for line in middle for s in re.split(r"(?<=[.!?…])\s+", line)]
-    return [s for s in sentences if len(s) >= min_words]
+    out: list[list[str]] = []
+    for s in (words(x) for line in middle for x in re.split(r"(?<=[.!?…])\s+", line)):
+        if out and s and min(len(out[-1]), len(s)) < min_words:
+            out[-1] = out[-1] + s
+        elif s:
+            out.append(s)
+    return out
 
 
 @dataclass
@@ -62,22 +70,28 @@ class TestSet:
     basis: np.ndarray | None = None  # [word, latent], rows scaled by idf
     latent: np.ndarray | None = None  # unit sentences
     length: np.ndarray | None = None  # latent lengths
+    runs: dict[tuple[str, ...], object] = field(default_factory=dict)  # runs of words that only one item has
 
     __test__ = False
 
 
-def collect_test_set(items: DataFrame, item_id: str, text: str, max_items: int = 100_000) -> TestSet:
-    rows = items.select(item_id, text).where(F.col(item_id).isNotNull()).orderBy(item_id).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} test items")
+RUN = 5  #: words of a run that can give an item away
+
+
+def collect_test_set(items: DataFrame, item_id: str, text: str) -> TestSet:
+    rows = items.select(item_id, text).where(F.col(item_id).isNotNull()).orderBy(item_id).collect()
     owner, sentences, vocabulary = [], [], {}
+    runs: dict[tuple[str, ...], object] = {}
     for i, t in rows:
         for s in passage_sentences(t):
             owner.append(i)
             sentences.append(s)
             for w in s:
                 vocabulary.setdefault(w, len(vocabulary))
-    out = TestSet(np.array(owner), sentences, vocabulary)
+            for k in range(len(s) - RUN + 1):
+                run = tuple(s[k : k + RUN])
+                runs[run] = i if runs.get(run, i) == i else None
+    out = TestSet(np.array(owner), sentences, vocabulary, runs={r: i for r, i in runs.items() if i is not None})
     out.ids = [np.array([vocabulary[w] for w in s]) for s in sentences]
     return out
 
@@ -126,25 +140,29 @@ def randomized_basis(spark, rows: list[np.ndarray], idf: np.ndarray, rank: int,
     q = rng.standard_normal((size, min(rank + over, size)))
     frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "i int, ids array<int>").repartition(slices, "i")
 
-    def dense(ids: list) -> np.ndarray:
-        a = np.zeros((len(ids), size))
-        for n, r in enumerate(ids):
-            np.add.at(a[n], np.asarray(r), idf[np.asarray(r)])
-        return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    def sums(ids: list, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the matrix times m, word and weight of each entry, its row), without a dense row."""
+        lengths = np.array([len(r) for r in ids])
+        at = np.concatenate([np.asarray(r) for r in ids])
+        row = np.repeat(np.arange(len(ids)), lengths)
+        own = row * size + at
+        names, count = np.unique(own, return_counts=True)
+        row, at = names // size, names % size
+        x = count * idf[at]
+        x = x / np.maximum(np.sqrt(np.bincount(row, x * x, len(ids))), 1e-12)[row]
+        return np.add.reduceat(x[:, None] * m[at], np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), axis=0), at, x, row
 
     for _ in range(power + 1):
         held = spark.sparkContext.broadcast(q)
 
         def product(batches, held=held):
-            total = None
             for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    a = dense(pdf["ids"].iloc[at : at + 256].tolist())
-                    part = a.T @ (a @ held.value)
-                    total = part if total is None else total + part
-            if total is not None:
-                used = np.flatnonzero(np.abs(total).sum(axis=1))
-                yield pd.DataFrame({"w": used, "y": list(total[used])})
+                for start in range(0, len(pdf), 256):
+                    proj, at, x, row = sums(pdf["ids"].iloc[start : start + 256].tolist(), held.value)
+                    order = np.argsort(at, kind="stable")
+                    at, part = at[order], (x[:, None] * proj[row])[order]
+                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    yield pd.DataFrame({"w": at[starts], "y": list(np.add.reduceat(part, starts, axis=0))})
 
         y = np.zeros_like(q)
         for r in frame.mapInPandas(product, "w int, y array<double>").toLocalIterator():
@@ -152,7 +170,7 @@ def randomized_basis(spark, rows: list[np.ndarray], idf: np.ndarray, rank: int,
         q = np.linalg.qr(y)[0]
         held.destroy()
     # rotate onto the leading directions
-    small = np.vstack([dense([r.tolist()]) @ q for r in rows])
+    small = np.vstack([sums(rows[i : i + 1024], q)[0] for i in range(0, len(rows), 1024)])
     _, _, vt = np.linalg.svd(small, full_matrices=False)
     return q @ vt.T[:, :rank]
 
@@ -219,7 +237,7 @@ def common_subsequence(sentence: list[str], window: list[str], strange: list[int
     return out
 
 
-def search_block(texts: list[str | None], test: TestSet, window: int = 28, stride: int = 9, min_cosine: float = 0.3, min_share: float = 0.4, cover: float = 0.5, margin: int = 14) -> list[tuple[int, object, float]]:
+def search_block(texts: list[str | None], test: TestSet, window: int = 28, stride: int = 9, min_cosine: float = 0.3, min_share: float = 0.4, cover: float = 0.5, margin: int = 14, at_once: int = 4096) -> list[tuple[int, object, float]]:
     """(place of the text, item, coverage) of each text and item found in a block of texts."""
     get, other = test.vocabulary.get, len(test.vocabulary)
     found = [words(t) for t in texts]
@@ -246,9 +264,12 @@ def search_block(texts: list[str | None], test: TestSet, window: int = 28, strid
         for j in range(window):
             vectors += test.basis[grid[:, j]]
         norm = np.linalg.norm(vectors, axis=1)
-        dots = vectors @ test.latent.T
-        r, c = np.nonzero((dots >= min_cosine * norm[:, None]) & (dots >= min_share * test.length[None, :]))
-        for k, s in zip(part[r], c):
+        near = []
+        for b in range(0, len(test.latent), at_once):
+            dots = vectors @ test.latent[b : b + at_once].T
+            r, c = np.nonzero((dots >= min_cosine * norm[:, None]) & (dots >= min_share * test.length[None, b : b + at_once]))
+            near += zip(part[r], c + b)
+        for k, s in near:
             key = (int(doc[k]), test.items[s])
             if hits.get(key, 0.0) >= 0.95:
                 continue
@@ -260,22 +281,57 @@ def search_block(texts: list[str | None], test: TestSet, window: int = 28, strid
     return [(d, item, score) for (d, item), score in hits.items()]
 
 
-def coverage(test: TestSet, s: int, window: list[str], cover: float = 0.5, strange: list[int] | None = None) -> float:
-    """Weighted share of the sentence that a window contains; 0 if it is not most of it or the answer check fails."""
+def coverage(test: TestSet, s: int, window: list[str], cover: float = 0.5, strange: list[int] | None = None, short: int = 6) -> float:
+    """Weighted share of the sentence that a window contains; 0 if it is not most of it or the answer check fails.
+
+    The answer check asks for most of the specific words. A literal run that no other item has gives an item away even
+    without them. Of a passage of fewer than `short` words every word has to be there."""
     sentence, at = test.sentences[s], test.ids[s]
     matched = common_subsequence(sentence, window, strange)
-    if len(matched) <= cover * len(sentence):
+    if len(matched) <= cover * len(sentence) or (len(sentence) < short and len(matched) < len(sentence)):
         return 0.0
     weights, specific = test.idf[at], test.specific[at]
     share = weights[matched].sum() / weights.sum()
-    return float(share) if share > cover and specific[matched].sum() >= cover * specific.sum() else 0.0
+    if share > cover and specific[matched].sum() >= cover * specific.sum():
+        return float(share)
+    literal = _longest_literal(sentence, window)
+    if literal[1] - literal[0] <= cover * len(sentence):
+        return 0.0
+    own = any(test.runs.get(tuple(sentence[k : k + RUN])) == test.items[s] for k in range(literal[0], literal[1] - RUN + 1))
+    return float(share) if own else 0.0
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rank: int = 256, max_items: int = 100_000) -> DataFrame:
-    """(doc_id, item_id, coverage) of each document with each test item of whose passage it contains most of a sentence."""
+def _longest_literal(sentence: list[str], window: list[str]) -> tuple[int, int]:
+    """(start, end) in the sentence of its longest run of words that the window has as such."""
+    best, last = (0, 0), [0] * (len(window) + 1)
+    for i, w in enumerate(sentence):
+        now = [0] * (len(window) + 1)
+        for j, x in enumerate(window):
+            if w == x:
+                now[j + 1] = last[j] + 1
+                if now[j + 1] > best[1] - best[0]:
+                    best = (i + 1 - now[j + 1], i + 1)
+        last = now
+    return best
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rank: int = 256, part_items: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, coverage) of each document with each test item of whose passage it contains most of a sentence.
+
+    A test set of more than part_items items is searched in parts of about that size, so that what is collected and
+    broadcast stays bounded; each part reads the corpus twice."""
+    parts = max(1, -(-items.count() // part_items))
+    found = None
+    for p in range(parts):
+        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(parts)) == p)
+        one = _search_part(docs, doc_id, text, collect_test_set(mine, item_id, item_text), item_id, dict(items.dtypes)[item_id], rank)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _search_part(docs: DataFrame, doc_id: str, text: str, test: TestSet, item_id: str, kind: str, rank: int) -> DataFrame:
     spark = docs.sparkSession
-    test = collect_test_set(items, item_id, item_text, max_items)
-    schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, `{item_id}` {dict(items.dtypes)[item_id]}, coverage double"
+    schema = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, `{item_id}` {kind}, coverage double"
     if not test.sentences:
         return spark.createDataFrame([], schema)
     df, passages = passage_frequencies(docs, text, test.vocabulary)
