@@ -43,12 +43,12 @@ def votes_of(df: DataFrame, item: str, annotator: str, label: Column, order: Seq
     return kept.groupBy("item", "annotator").agg(F.max_by("label", F.struct("__o", -F.col("label"))).alias("label"))
 
 
-def _dense(pdf: pd.DataFrame, place: dict, k: int) -> np.ndarray:
+def _dense(pdf: pd.DataFrame, v: int, k: int) -> np.ndarray:
     """Votes of a batch of items as an (items, annotators, classes) indicator."""
-    x = np.zeros((len(pdf), len(place), k), np.float64)
-    for n, votes in enumerate(pdf["votes"]):
-        for v in votes:
-            x[n, place[v["annotator"]], v["label"]] = 1.0
+    x = np.zeros((len(pdf), v, k), np.float64)
+    if len(pdf):
+        row = np.repeat(np.arange(len(pdf)), [len(p) for p in pdf["places"]])
+        x[row, np.concatenate(pdf["places"].to_list()), np.concatenate(pdf["labels"].to_list())] = 1.0
     return x
 
 
@@ -113,6 +113,8 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
         raise ValueError(f"more than {max_annotators} annotators")
     place = {a: i for i, a in enumerate(names)}
     v = len(names)
+    listed = F.array(*[F.lit(a) for a in names]).cast(f"array<{dict(votes.dtypes)['annotator']}>")
+    items = items.select("item", F.transform("votes.annotator", lambda a: (F.array_position(listed, a) - 1).cast("int")).alias("places"), F.col("votes.label").alias("labels"))
     label_schema = f"item {dict(votes.dtypes)['item']}, label bigint, confidence double, n_votes int, agreement double"
     note_schema = f"annotator {dict(votes.dtypes)['annotator']}, accuracy double, reliability double, skill double, n_votes bigint"
     kind = dict(votes.dtypes)["annotator"]
@@ -121,7 +123,7 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
         return spark.createDataFrame([], label_schema), spark.createDataFrame([], note_schema), spark.createDataFrame([], pair_schema)
 
     def pairs(pdf):
-        x = _dense(pdf, place, k).reshape(len(pdf), v * k)
+        x = _dense(pdf, v, k).reshape(len(pdf), v * k)
         return {"joint": x.T @ x}
 
     joint = _collect(_sum_moments(items, pairs, ["joint"]), {"joint": (v * k, v * k)})["joint"].reshape(v, k, v, k)
@@ -136,7 +138,7 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
     for _ in range(rounds):
 
         def refine(pdf, weights=weights, prior=prior):
-            x = _dense(pdf, place, k)
+            x = _dense(pdf, v, k)
             q = _softmax(np.einsum("nvl,vlk->nk", x, weights) + prior)
             return {"conf": np.einsum("nk,nvl->vkl", q, x), "mass": q.sum(axis=0), "both": np.einsum("nk,ni,nj->ijk", q, x.sum(2), x.sum(2))}
 
@@ -151,7 +153,7 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
 
     def decide(batches, weights=weights, prior=prior):
         for pdf in batches:
-            x = _dense(pdf, place, k)
+            x = _dense(pdf, v, k)
             q = _softmax(np.einsum("nvl,vlk->nk", x, weights) + prior)
             best = np.round(q, 9).argmax(axis=1)
             n = x.sum(axis=(1, 2))
@@ -162,7 +164,7 @@ def consensus(votes: DataFrame, classes: int = len(CLASSES), rounds: int = 2, ma
 
     def hits(batches, weights=weights, prior=prior):
         for pdf in batches:
-            x = _dense(pdf, place, k)
+            x = _dense(pdf, v, k)
             best = np.round(_softmax(np.einsum("nvl,vlk->nk", x, weights) + prior), 9).argmax(axis=1)
             yield pd.DataFrame({"at": np.arange(v), "hit": x[np.arange(len(x)), :, best].sum(axis=0)})
 
