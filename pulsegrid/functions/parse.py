@@ -1,8 +1,8 @@
 """Raw view answers to (label, confidence), never failing.
 
 Stage one reads the outermost braces as JSON, stage two takes label and confidence by pattern, stage three gives (0, 0.5).
-The strict JSON stage runs in Python over Arrow batches (SQL's JSON functions accept trailing text and duplicates); answers
-without braces never leave the JVM's pattern stage."""
+The strict JSON stage runs in Python over Arrow batches, through which every answer goes (SQL's JSON functions accept trailing
+text and duplicates); the pattern stage is a JVM expression."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The patterns of the second stage.
 LABEL_PATTERN = r'"label"\s*:\s*(-?\d+)'
 CONFIDENCE_PATTERN = r'"confidence"\s*:\s*([\d.]+)'
 

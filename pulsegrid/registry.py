@@ -6,12 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Class and channel names of the datasets, in the order of their indexes.
 CLINICAL_CLASSES = ("normal", "cardiac_arrhythmia", "sepsis_onset", "hemodynamic_instability", "respiratory_failure", "neurological_event", "infection", "other")
 CLINICAL_CHANNELS = ("HR", "SpO2", "SBP", "DBP", "MAP", "RR", "Temp", "GCS")
 ALARM_CLASSES = ("asystole", "bradycardia", "tachycardia", "ventricular_tachycardia", "ventricular_fibrillation")
 ALARM_CHANNELS = ("ECG_I", "ECG_II", "ABP", "PPG", "RESP")
 
-#: Leads of a record in the order in which they may stand in for a channel, case ignored.
+#: Leads of a record in the order in which they may stand in for a channel, case ignored.
 CHANNEL_ALIASES = {
     "ECG_I": ("I", "ECGI", "ECG-I"),
     "ECG_II": ("II", "V", "ECGII", "ECG-II"),
@@ -20,9 +21,10 @@ CHANNEL_ALIASES = {
     "RESP": ("RESP", "RESPIRATION"),
 }
 
-#: First letter of a record's name and the class it stands for.
+#: First letter of a record's name and the class it stands for.
 RECORD_PREFIXES = {"a": 0, "b": 1, "t": 2, "v": 3, "f": 4}
 
+#: The parts of the twelve views.
 PROMPT_VARIANTS = ("narrow", "standard", "wide")
 TEMPERATURES = (0.0, 0.3, 0.7, 1.0)
 
@@ -36,6 +38,7 @@ class Dataset:
     length: int
 
 
+#: Name, classes, channels, seconds and length of the windows.
 DATASETS = {
     d.name: d
     for d in (
