@@ -1023,6 +1023,16 @@ def q_d5_hint(s, d):
     return top.select("item", F.concat(F.lit("  ml_hint: top=class_"), F.col("pred").cast("string"), F.lit(" (p="), F.format_string("%.2f", "share"), F.lit(")")).alias("hint"))
 
 
+@query(f"""WITH {B.COUNTS}, full_ AS (SELECT t.item, k.k, coalesce(c.share, 0.0) AS p FROM truth t CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(10)) k LEFT JOIN counts c ON c.item = t.item AND c.label = k.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, k DESC) AS r FROM full_)
+SELECT a.item, '  ml_hint: top=class_' || a.k || ' (p=' || printf('%.2f', a.p) || '), runner_up=class_' || b.k || ' (p=' || printf('%.2f', b.p) || ')' AS hint FROM r a JOIN r b ON b.item = a.item AND b.r = 2 WHERE a.r = 1""")
+def q_d5_hint_line(s, d):
+    """The whole line, from the votes' shares as probabilities."""
+    shares = votes.vote_counts(B.votes(s, d)).groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("label", "share"))).alias("m"))
+    proba = F.transform(F.sequence(F.lit(0), F.lit(B.CLASSES - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return shares.select("item", labeling.hint_column(proba, [f"class_{i}" for i in range(B.CLASSES)]).alias("hint"))
+
+
 @query("SELECT trace_id, CAST(0 AS INTEGER) AS label, CAST(0.5 AS DOUBLE) AS confidence FROM raw_trace WHERE response IS NULL")
 def q_d7_failed_calls(s, d):
     rows = table(s, d, "raw_trace").where("response is null").select("trace_id", "response")
