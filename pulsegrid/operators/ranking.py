@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.session import materialize
+from pulsegrid.session import discard, materialize
 
 #: Rows up to which a top-k runs as per-partition heaps that meet in one task.
 HEAP_ROWS = 10_000
@@ -45,7 +45,9 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -
     offsets = whole.select(F.col("__range").alias("__range_o"), *[F.coalesce(F.sum(f"__sum_{i}").over(before), F.lit(0)).alias(f"__before_{i}") for i in range(len(sums))])
     inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     met = ranged.select("*", *[F.sum(c).over(inside).alias(f"__in_{i}") for i, c in enumerate(sums)]).join(offsets, F.col("__range") == F.col("__range_o"))
-    return met.select(*df.columns, *[(F.col(f"__in_{i}") + F.col(f"__before_{i}")).alias(name) for i, name in enumerate(sums.values())])
+    out = met.select(*df.columns, *[(F.col(f"__in_{i}") + F.col(f"__before_{i}")).alias(name) for i, name in enumerate(sums.values())])
+    out._pulsegrid_path = ranged._pulsegrid_path  # for discard()
+    return out
 
 
 def quantile(df: DataFrame, value: str, q: float, name: str = "quantile") -> DataFrame:
@@ -60,4 +62,5 @@ def quantile(df: DataFrame, value: str, q: float, name: str = "quantile") -> Dat
         at = q * (n - 1)
         low, high = run.agg(F.min(F.when(F.col("k") > math.floor(at), F.col("v"))), F.min(F.when(F.col("k") > math.ceil(at), F.col("v")))).first()
         found = low + (high - low) * (at - math.floor(at)) if high > low else low
+    discard(run)
     return df.sparkSession.range(1).select(F.lit(found).cast("double").alias(name))
